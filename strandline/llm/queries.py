@@ -12,6 +12,12 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from .leaks import leaks
+
+    return leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from .sentences import sentence_units
 
