@@ -87,10 +87,13 @@ def _close(a: str, b: str) -> bool:
     return max(len(x), len(y)) <= most or (len(x) == 2 and x == y[::-1])
 
 
-def held(item: list[str], around: list[str], whole_only: bool) -> bool:
+def held(item: list[str], around: list[str], whole_only: bool, rare: set[str] = frozenset()) -> bool:
     """Do the words around a hit hold the item's words: all of them, or at least ``WINDOW`` in a row?
 
-    One changed, added or lost word is allowed, and slips within words.
+    One changed, added or lost word is allowed, and slips within words.  In a
+    part of a sentence, a changed word is allowed only if at least two words
+    that are peculiar to the item are there: else it is a like sentence about
+    something else.
     """
     n = len(item)
     sm = SequenceMatcher(None, item, around, autojunk=False)
@@ -117,7 +120,7 @@ def held(item: list[str], around: list[str], whole_only: bool) -> bool:
     if n - ok.sum() + extra[1:n].sum() + 0.2 * slips <= 1.8:
         return True
     a, b = "".join(item), "".join(around)
-    if abs(len(a) - len(b)) < 0.8 * len(a) + 60:  # layout within words: compare without word limits
+    if 3 * ok.sum() >= n and abs(len(a) - len(b)) < 0.8 * len(a) + 60:  # layout within words: compare without word limits
         sm = SequenceMatcher(None, a, b, autojunk=False)
         blocks = sm.get_matching_blocks()
         same = sum(x.size for x in blocks if x.size > 1)
@@ -136,7 +139,8 @@ def held(item: list[str], around: list[str], whole_only: bool) -> bool:
                 e += 1
             while e > s and not ok[e - 1]:
                 e -= 1
-            if e - s >= WINDOW:
+            run = range(s, e)
+            if e - s >= WINDOW and (ok[s:e].all() and not extra[s + 1 : e].any() or sum(bool(ok[k]) and item[k] in rare for k in run) >= 2):
                 return True
     return False
 
@@ -169,6 +173,16 @@ class Index:
         self.vocab: dict[str, int] = {}
         self.sentences = sentences
         ids = [[self.vocab.setdefault(w, len(self.vocab)) for w in ws] for _, _, ws in sentences]
+        df = np.bincount([w for x in ids for w in set(x)], minlength=len(self.vocab))
+        # words of at most two sentences, or one sentence in a thousand
+        self.rare = np.append(df <= max(2, len(ids) // 1000), False)
+        self.rare_words = {w for w, k in self.vocab.items() if self.rare[k]}
+        # sentences of which every window has a peculiar word: without one there is no match
+        self.needs = []
+        for x, (_, _, ws) in zip(ids, sentences, strict=True):
+            seen = np.concatenate([[0], np.cumsum(self.rare[x])])
+            width = min(WINDOW, len(x))
+            self.needs.append({w for w in ws if w in self.rare_words} if (seen[width:] - seen[: len(x) - width + 1]).min() else None)
         self.sizes = {}
         for width in sorted({min(WINDOW, len(x)) for x in ids}):
             rows = [(k, o) for k, x in enumerate(ids) if min(WINDOW, len(x)) == width for o in range(len(x) - width + 1)]
@@ -219,6 +233,9 @@ class Index:
                     same[:, 1:] |= a[:, 1:] == b[:, :-1]
                     same[:, :-1] |= a[:, :-1] == b[:, 1:]
                     near = same.sum(axis=1) >= width - 2 - 2 * (width > 8)
+                    peculiar = self.rare[b]
+                    # a window with several peculiar words keeps one of them under a single change
+                    near &= (peculiar.sum(axis=1) < 2) | (peculiar & same).any(axis=1)
                     row, hit = row[near], hit[near]
                     doc = np.searchsorted(first, pos[row], "right") - 1
                     sent, diag = where[hit, 0], pos[row] - where[hit, 1]
@@ -230,7 +247,8 @@ class Index:
                         at = g - starts[d]
                         around = [skeleton(w) for w in docs[d][max(0, at - 4) : max(0, at + len(ws) + 4)]]
                         exact = at >= 0 and [skeleton(w) for w in docs[d][at : at + len(ws)]] == ws
-                        if exact or held(ws, around, whole_only):
+                        need = self.needs[s]
+                        if exact or (need is None or not need.isdisjoint(around)) and held(ws, around, whole_only, self.rare_words):
                             found.add((d, item))
                             settled.append((g, g + len(ws)))
                 if settled and r + 1 < len(reps):  # what lies within a found passage needs no further walk
@@ -263,7 +281,10 @@ def item_sentences(items: DataFrame, key: str = "item_id") -> DataFrame:
             out = []
             for k, passage, question in zip(pdf["item"], pdf["passage"], pdf["question"], strict=True):
                 for s, e in split(passage):
-                    out.append((k, False, " ".join(map(skeleton, tokens(passage[s:e])))))
+                    ws = list(map(skeleton, tokens(passage[s:e])))
+                    # parts of sentences count in scripts with spaces only
+                    unspaced = sum(len(w) == 1 and w >= "\u3040" for w in ws) * 3 > len(ws)
+                    out.append((k, unspaced, " ".join(ws)))
                 if question:
                     out.append((k, True, " ".join(map(skeleton, tokens(question)))))
             yield pd.DataFrame(out, columns=["item", "whole_only", "words"])
