@@ -12,6 +12,31 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    cache = _read(spark, d, "llm_cache").select(F.lit("llm_cache").alias("origin"), F.col("args_hash").alias("pair_key"), F.col("prompt").alias("question"), "content")
+    samples = _read(spark, d, "experiment_samples")
+    asked = samples.groupBy(F.col("id").alias("sample_id")).agg(F.min("question").alias("question"))
+    answers = (
+        _read(spark, d, "per_question_metrics")
+        .select("sample_id", F.lit("per_question_metrics").alias("origin"), F.col("result_id").cast("string").alias("pair_key"), F.col("prediction").alias("content"))
+        .join(asked, "sample_id")
+        .select("origin", "pair_key", "question", "content")
+    )
+    return cache.unionByName(answers), samples
+
+
+def p5_defects(spark: SparkSession, d: str) -> DataFrame:
+    from .pairs import defects
+
+    return defects(*_pairs(spark, d)).select("origin", "pair_key", "defect", F.round("posterior", 3).alias("posterior"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from .pairs import defects, one_defect
+
+    return one_defect(defects(*_pairs(spark, d)))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from .leaks import leaks
 
