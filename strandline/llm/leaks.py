@@ -120,7 +120,7 @@ def held(item: list[str], around: list[str], whole_only: bool, rare: set[str] =
     if n - ok.sum() + extra[1:n].sum() + 0.2 * slips <= 1.8:
         return True
     a, b = "".join(item), "".join(around)
-    if 3 * ok.sum() >= n and abs(len(a) - len(b)) < 0.8 * len(a) + 60:  # layout within words: compare without word limits
+    if n - ok.sum() <= 3 and abs(len(a) - len(b)) < 0.8 * len(a) + 60:  # layout within words: compare without word limits
         sm = SequenceMatcher(None, a, b, autojunk=False)
         blocks = sm.get_matching_blocks()
         same = sum(x.size for x in blocks if x.size > 1)
@@ -172,17 +172,20 @@ class Index:
     def __init__(self, sentences: list[tuple[int, bool, list[str]]]):
         self.vocab: dict[str, int] = {}
         self.sentences = sentences
+        self.skeletons: dict[str, str] = {}
         ids = [[self.vocab.setdefault(w, len(self.vocab)) for w in ws] for _, _, ws in sentences]
         df = np.bincount([w for x in ids for w in set(x)], minlength=len(self.vocab))
         # words of at most two sentences, or one sentence in a thousand
         self.rare = np.append(df <= max(2, len(ids) // 1000), False)
         self.rare_words = {w for w, k in self.vocab.items() if self.rare[k]}
-        # sentences of which every window has a peculiar word: without one there is no match
+        self.ids = [np.array(x, dtype=np.int64) for x in ids]
+        # how many peculiar words must be there: what the poorest window keeps under a single change
         self.needs = []
         for x, (_, _, ws) in zip(ids, sentences, strict=True):
             seen = np.concatenate([[0], np.cumsum(self.rare[x])])
             width = min(WINDOW, len(x))
-            self.needs.append({w for w in ws if w in self.rare_words} if (seen[width:] - seen[: len(x) - width + 1]).min() else None)
+            least = int((seen[width:] - seen[: len(x) - width + 1]).min())
+            self.needs.append(({w for w in ws if w in self.rare_words}, 2 if least > 2 else min(least, 1)))
         self.sizes = {}
         for width in sorted({min(WINDOW, len(x)) for x in ids}):
             rows = [(k, o) for k, x in enumerate(ids) if min(WINDOW, len(x)) == width for o in range(len(x) - width + 1)]
@@ -210,6 +213,15 @@ class Index:
         first = np.array(starts, dtype=np.int64)
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
         found: set[tuple[int, int]] = set()
+
+        def skeletons(w: str) -> str:
+            v = self.skeletons.get(w)
+            if v is None:
+                if len(self.skeletons) > 500_000:
+                    self.skeletons.clear()
+                v = self.skeletons[w] = skeleton(w)
+            return v
+
         for width, (win, where, reps) in self.sizes.items():
             lost = LOST if width > 8 else 1
             pos = np.nonzero(known[width:] - known[: len(known) - width] >= width - lost)[0]
@@ -244,13 +256,18 @@ class Index:
                             continue
                         tried.add((d, s, g))
                         item, whole_only, ws = self.sentences[s]
+                        n_words = len(ws)
+                        if (d, item) in found:
+                            settled.append((g, g + n_words))
+                            continue
                         at = g - starts[d]
-                        around = [skeleton(w) for w in docs[d][max(0, at - 4) : max(0, at + len(ws) + 4)]]
-                        exact = at >= 0 and [skeleton(w) for w in docs[d][at : at + len(ws)]] == ws
-                        need = self.needs[s]
-                        if exact or (need is None or not need.isdisjoint(around)) and held(ws, around, whole_only, self.rare_words):
-                            found.add((d, item))
-                            settled.append((g, g + len(ws)))
+                        if not (at >= 0 and np.array_equal(ids[g : g + n_words], self.ids[s])):
+                            around = list(map(skeletons, docs[d][max(0, at - 4) : max(0, at + n_words + 4)]))
+                            peculiar, least = self.needs[s]
+                            if len(peculiar.intersection(around)) < least or not held(ws, around, whole_only, self.rare_words):
+                                continue
+                        found.add((d, item))
+                        settled.append((g, g + n_words))
                 if settled and r + 1 < len(reps):  # what lies within a found passage needs no further walk
                     inside = np.zeros(len(ids) + 1, dtype=np.int32)
                     for a_, b_ in settled:
