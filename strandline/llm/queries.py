@@ -12,6 +12,24 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    a = _read(spark, d, "llm_entities").select(F.col("entity_name").alias("name"), F.col("entity_type").alias("type"))
+    return a.unionByName(_read(spark, d, "extracted_entities").select("name", "type"))
+
+
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    from .names import variants
+
+    members = variants(_mentions(spark, d))
+    return members.groupBy("entity").agg(F.count("*").alias("spellings"), F.min("name").alias("example"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from .names import variant_pairs, variants
+
+    return variant_pairs(variants(_mentions(spark, d)))
+
+
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     cache = _read(spark, d, "llm_cache").select(F.lit("llm_cache").alias("origin"), F.col("args_hash").alias("pair_key"), F.col("prompt").alias("question"), "content")
     samples = _read(spark, d, "experiment_samples")
