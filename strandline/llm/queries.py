@@ -30,7 +30,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return variant_pairs(variants(_mentions(spark, d)))
 
 
-def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     cache = _read(spark, d, "llm_cache").select(F.lit("llm_cache").alias("origin"), F.col("args_hash").alias("pair_key"), F.col("prompt").alias("question"), "content")
     samples = _read(spark, d, "experiment_samples")
     asked = samples.groupBy(F.col("id").alias("sample_id")).agg(F.min("question").alias("question"))
@@ -40,7 +40,8 @@ def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         .join(asked, "sample_id")
         .select("origin", "pair_key", "question", "content")
     )
-    return cache.unionByName(answers), samples
+    contents = cache.select("content").unionByName(_read(spark, d, "per_question_metrics").select(F.col("prediction").alias("content")))
+    return cache.unionByName(answers), samples, contents
 
 
 def p5_defects(spark: SparkSession, d: str) -> DataFrame:
