@@ -12,6 +12,24 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "vector_records")
+    return rows.select(F.col("vec_id").alias("id"), F.coalesce("embedding", "vector").alias("v"))
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    from .neighbours import most_similar
+
+    return most_similar(_vectors(spark, d)).withColumn("similarity", F.round("similarity", 9))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from .neighbours import most_similar
+
+    pairs = most_similar(_vectors(spark, d)).select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b"))
+    return pairs.distinct()
+
+
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
     a = _read(spark, d, "llm_entities").select(F.col("entity_name").alias("name"), F.col("entity_type").alias("type"))
     return a.unionByName(_read(spark, d, "extracted_entities").select("name", "type"))
