@@ -45,7 +45,8 @@ LOOKALIKES = str.maketrans(
     "abeekmhopctyxijsdqwhabezhikmvoptux",
 )
 # -----------------------------------------------------------------------------
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[぀-ヿ㐀-鿿豈-﫿]|[^\W\d_぀-ヿ㐀-鿿豈-﫿]+(?:[̀-ͯ]+[^\W\d_]*)*")
+TOKEN = re.compile(r"[^\W\d_぀-ヿ㐀-鿿豈-﫿]+(?:[̀-ͯ]+[^\W\d_]*)*|[぀-ヿ㐀-鿿豈-﫿]|\d+(?:[.,]\d+)*")
+TOKEN_ASCII = re.compile(r"[A-Za-z]+|\d+(?:[.,]\d+)*")
 INVISIBLE = re.compile("[­​-‏⁠﻿]")
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,40}>")
 SIGHTS = re.compile("[<­​-‏⁠﻿]")
@@ -65,7 +66,9 @@ def skeleton(token: str) -> str:
 def tokens(text: str) -> list[str]:
     if SIGHTS.search(text):
         text = TAG.sub("", INVISIBLE.sub("", text))
-    if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
+    if text.isascii():
+        return TOKEN_ASCII.findall(text)
+    if not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
     return TOKEN.findall(text)
 
@@ -181,11 +184,11 @@ class Index:
         self.ids = [np.array(x, dtype=np.int64) for x in ids]
         # how many peculiar words must be there: what the poorest window keeps under a single change
         self.needs = []
-        for x, (_, _, ws) in zip(ids, sentences, strict=True):
+        for x in ids:
             seen = np.concatenate([[0], np.cumsum(self.rare[x])])
             width = min(WINDOW, len(x))
             least = int((seen[width:] - seen[: len(x) - width + 1]).min())
-            self.needs.append(({w for w in ws if w in self.rare_words}, 2 if least > 2 else min(least, 1)))
+            self.needs.append(({w for w in x if self.rare[w]}, 2 if least > 2 else min(least, 1)))
         self.sizes = {}
         for width in sorted({min(WINDOW, len(x)) for x in ids}):
             rows = [(k, o) for k, x in enumerate(ids) if min(WINDOW, len(x)) == width for o in range(len(x) - width + 1)]
@@ -198,6 +201,17 @@ class Index:
                 reps.append((keys[order], order))
             self.sizes[width] = (win, where, reps)
 
+    def _could_hold(self, s: int, region: set[int], whole_only: bool) -> bool:
+        """A bound on held(), from which words occur at all: few are missing, or few in a long stretch."""
+        sent = self.ids[s].tolist()
+        there = [w in region for w in sent]
+        if there.count(False) <= 5:
+            return True
+        if whole_only:
+            return False
+        gaps = [-1, *(i for i, t in enumerate(there) if not t), len(there)]
+        return any(gaps[min(i + 4, len(gaps) - 1)] - gaps[i] - 1 >= WINDOW for i in range(len(gaps) - 1))
+
     def search(self, texts: list[str], memo: dict) -> Iterator[tuple[int, int]]:
         """(number of the text, item) of every leak."""
         docs = [tokens(t) if t else [] for t in texts]
@@ -262,9 +276,12 @@ class Index:
                             continue
                         at = g - starts[d]
                         if not (at >= 0 and np.array_equal(ids[g : g + n_words], self.ids[s])):
-                            around = list(map(skeletons, docs[d][max(0, at - 4) : max(0, at + n_words + 4)]))
+                            region = set(flat[max(starts[d], g - 4) : max(0, g + n_words + 4)])
                             peculiar, least = self.needs[s]
-                            if len(peculiar.intersection(around)) < least or not held(ws, around, whole_only, self.rare_words):
+                            if len(peculiar & region) < least or not self._could_hold(s, region, whole_only):
+                                continue
+                            around = list(map(skeletons, docs[d][max(0, at - 4) : max(0, at + n_words + 4)]))
+                            if not held(ws, around, whole_only, self.rare_words):
                                 continue
                         found.add((d, item))
                         settled.append((g, g + n_words))
