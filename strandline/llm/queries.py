@@ -12,6 +12,31 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from .proportions import proportion_sample
+
+    targets = _read(spark, d, "sampling_targets")
+    samples, reports = [], []
+    for dataset, dims in (("example_meta", ["overlap_bucket", "hop_count"]), ("causal_rows", ["category"])):
+        sample, report = proportion_sample(_read(spark, d, dataset), targets.where(F.col("dataset") == dataset), dims)
+        cell = F.concat_ws(" / ", *dims).alias("cell")
+        samples.append(sample.select("target_set", F.lit(dataset).alias("dataset"), "id", cell))
+        reports.append(report.select("target_id", "target_set", F.lit(dataset).alias("dataset"), cell, "target_permille", "min_rows", "wanted", "available", "sampled", "gap"))
+    return samples[0].unionByName(samples[1]), reports[0].unionByName(reports[1])
+
+
+def p1_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _sampled(spark, d)[0]
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return _sampled(spark, d)[1]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _sampled(spark, d)[1].where("gap > 0 and available < wanted").select("target_id")
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = _read(spark, d, "vector_records")
     return rows.select(F.col("vec_id").alias("id"), F.coalesce("embedding", "vector").alias("v"))
@@ -48,6 +73,33 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return variant_pairs(variants(_mentions(spark, d)))
 
 
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    from . import quantiles as Q
+
+    metrics = ["query_latency_ms", "index_latency_ms"]
+    rows = _read(spark, d, "per_question_metrics").select("result_id", "condition", F.to_date("finished_at").alias("day"), *metrics)
+    rows = rows.dropDuplicates(["result_id"]).drop("result_id")
+    days = Q.sketches(rows, ["condition", "day"], metrics)
+    ps = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    by_day = Q.percentiles(days, ps)
+    over_all = Q.percentiles(Q.merged(days, ["condition", "metric"]), ps).withColumn("day", F.lit(None).cast("date"))
+    return by_day.unionByName(over_all).withColumn("error_of_ranks_above", F.lit(Q.ERROR))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(_read(spark, d, "documents").select("doc_id", F.octet_length("text").alias("size")), 4_096)
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).where("piece = 1").select("doc_id").distinct()
+
+
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     cache = _read(spark, d, "llm_cache").select(F.lit("llm_cache").alias("origin"), F.col("args_hash").alias("pair_key"), F.col("prompt").alias("question"), "content")
     samples = _read(spark, d, "experiment_samples")
