@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import evaluation, experiments, graphs, ingestion, relational, retrieval, texts
+from .registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP: Query = retrieval.bm25_topk
+MODULES = (texts, ingestion, retrieval, graphs, evaluation, experiments, relational)
 
 
-def FLAGSHIP(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
