@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,16 +122,23 @@ def chrf(prediction: Column, reference: Column, most: int = 6, beta: float = 2.0
     return total / most
 
 
-def longest_common(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: a fold that carries one row of the table."""
-    zero = F.transform(F.concat(F.array(F.lit("")), b), lambda _: F.lit(0))
-    def row(above: Column, x: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            F.array(F.lit(0)),
-            lambda made, j: F.concat(made, F.array(F.when(F.get(b, j - 1) == x, F.get(above, j - 1) + 1).otherwise(F.greatest(F.get(above, j), F.get(made, j - 1))))),
-        )
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(F.aggregate(a, zero, row), -1)).otherwise(0)
+@F.pandas_udf("int")
+def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two arrays, by rows of its table."""
+
+    def one(x: np.ndarray | None, y: np.ndarray | None) -> int:
+        if x is None or y is None or not len(x) or not len(y):
+            return 0
+        codes: dict = {}
+        other = np.array([codes.setdefault(t, len(codes)) for t in y])
+        row = np.zeros(len(other) + 1, dtype=np.int32)
+        for t in x:
+            k = codes.get(t)
+            if k is not None:
+                row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(other == k, row[:-1] + 1, 0)))
+        return int(row[-1])
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def rouge_l(prediction: Column, reference: Column) -> Column:
