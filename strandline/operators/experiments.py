@@ -31,8 +31,8 @@ def summary(results: DataFrame, by: list[str], percentiles: tuple[float, ...] =
     cells += [F.round(mean(c), 6).alias(f"{c}_avg") for c in MEANS]
     for c in LATENCIES:
         x = F.when(ok() & (finite(c) >= 0), finite(c))
-        cells.append(F.round(F.avg(x), 3).alias(f"{c}_avg"))
-        cells += [F.round(F.percentile(x, p), 3).alias(f"{c}_p{round(100 * p)}") for p in percentiles]
+        cells.append(F.round(F.avg(x), 6).alias(f"{c}_avg"))
+        cells += [F.round(F.percentile(x, p), 6).alias(f"{c}_p{round(100 * p)}") for p in percentiles]
     return results.groupBy(*by).agg(*cells)
 
 

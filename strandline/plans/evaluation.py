@@ -136,15 +136,15 @@ def answer_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("result_id", F.round(E.answer_accuracy(F.col("question"), F.col("prediction"), F.col("answer")), 6).alias("accuracy"))
 
 
-@query("""with e as (select user_id, ts, event_id, event_type, value, sum(case when event_type = 'login' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as turn from events)
-select user_id, turn::bigint as turn, count(*) filter (event_type <> 'login') as replies, round(sum(e.value) filter (event_type <> 'login'), 4) as total from e where turn > 0 group by 1, 2""")
+@query("""with e as (select user_id, ts, event_id, event_type, value, sum(case when event_type = 'signup' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as turn from events)
+select user_id, turn::bigint as turn, count(*) filter (event_type <> 'signup') as replies, round(sum(e.value) filter (event_type <> 'signup'), 4) as total from e where turn > 0 group by 1, 2""")
 def turn_grouping(spark: SparkSession, d: str) -> DataFrame:
     """An opening event and all that follow it before the next, as a turn and its replies."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = table(spark, d, "events").withColumn("turn", F.sum(F.when(F.col("event_type") == "login", 1).otherwise(0)).over(w)).where("turn > 0")
-    reply = F.col("event_type") != "login"
+    e = table(spark, d, "events").withColumn("turn", F.sum(F.when(F.col("event_type") == "signup", 1).otherwise(0)).over(w)).where("turn > 0")
+    reply = F.col("event_type") != "signup"
     return e.groupBy("user_id", "turn").agg(F.count(F.when(reply, 1)).alias("replies"), F.round(F.sum(F.when(reply, F.col("value"))), 4).alias("total"))
 
 
