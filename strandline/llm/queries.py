@@ -142,5 +142,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+_VALID = "(select vec_id, any_value(coalesce(embedding, vector)) as v from vector_records group by 1)"
+SQL = {
+    "p1_found": """with e as (select lower(trim(overlap_bucket)) as a, hop_count::varchar as b, count(distinct id) as n from example_meta group by 1, 2),
+c as (select lower(trim(category)) as a, count(distinct id) as n from causal_rows group by 1),
+t as (select target_id, greatest(min_rows, ceil(target_permille * sample_size / 1000.0)) as wanted, coalesce(e.n, c.n, 0) as n from sampling_targets s
+left join e on s.dataset = 'example_meta' and e.a = lower(trim(s.overlap_bucket)) and e.b = s.hop_count::varchar left join c on s.dataset = 'causal_rows' and c.a = lower(trim(s.category)))
+select target_id from t where n < wanted""",
+    "p2_found": f"""with r as (select vec_id, v from {_VALID} where len(v) = 64), g as (select * from r where len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+s as (select a.vec_id as a, b.vec_id as b, row_number() over (partition by a.vec_id order by list_cosine_similarity(a.v, b.v) desc, b.vec_id) as k from g a join g b on a.vec_id <> b.vec_id)
+select distinct least(a, b) as vec_a, greatest(a, b) as vec_b from s where k <= 5""",
+    "p6_found": "select doc_id from documents where strlen(text) > 4096",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
