@@ -91,7 +91,9 @@ def causal_triples(docs: DataFrame, key: str, sentence: Column) -> DataFrame:
     """(key, cause, effect, confidence) by patterns; sides of fewer than three letters are dropped."""
     found = []
     for pattern, reverse in CAUSAL_PATTERNS:
-        a, b = F.regexp_extract(sentence, pattern, 1), F.regexp_extract(sentence, pattern, 2)
+        # the verb alone is found in linear time; only sentences that have it are matched with both sides
+        verb = sentence.rlike(pattern[pattern.index("?) ") + 2 : pattern.rindex("(")])
+        a, b = (F.when(verb, F.regexp_extract(sentence, pattern, i)).otherwise("") for i in (1, 2))
         cause, effect = (b, a) if reverse else (a, b)
         found.append(F.struct(F.trim(F.lower(cause)).alias("cause"), F.trim(F.lower(effect)).alias("effect")))
     rows = docs.select(key, F.explode(F.array(*found)).alias("x")).select(key, "x.cause", "x.effect").where("length(cause) >= 3 and length(effect) >= 3")

@@ -28,11 +28,11 @@ def mean(c: str, where: Column | None = None) -> Column:
 def summary(results: DataFrame, by: list[str], percentiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Counts, means and latency percentiles (linear interpolation) of every group."""
     cells = [F.count("*").alias("samples"), F.count(F.when(~ok(), 1)).alias("errors")]
-    cells += [F.round(mean(c), 6).alias(f"{c}_avg") for c in MEANS]
+    cells += [F.round(mean(c), 10).alias(f"{c}_avg") for c in MEANS]
     for c in LATENCIES:
         x = F.when(ok() & (finite(c) >= 0), finite(c))
-        cells.append(F.round(F.avg(x), 6).alias(f"{c}_avg"))
-        cells += [F.round(F.percentile(x, p), 6).alias(f"{c}_p{round(100 * p)}") for p in percentiles]
+        cells.append(F.round(F.avg(x), 9).alias(f"{c}_avg"))
+        cells += [F.round(F.percentile(x, p), 9).alias(f"{c}_p{round(100 * p)}") for p in percentiles]
     return results.groupBy(*by).agg(*cells)
 
 

@@ -26,10 +26,10 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _summary_sql(by: str) -> str:
-    cells = ["count(*) as samples", f"count(*) filter (not ({OK})) as errors", *[f"round({_mean(c)}, 6) as {c}_avg" for c in X.MEANS]]
+    cells = ["count(*) as samples", f"count(*) filter (not ({OK})) as errors", *[f"round({_mean(c)}, 10) as {c}_avg" for c in X.MEANS]]
     for c in X.LATENCIES:
         x = f"case when {OK} and isfinite({c}) and {c} >= 0 then {c} end"
-        cells += [f"round(avg({x}), 6) as {c}_avg", f"round(quantile_cont({x}, 0.5), 6) as {c}_p50", f"round(quantile_cont({x}, 0.95), 6) as {c}_p95"]
+        cells += [f"round(avg({x}), 9) as {c}_avg", f"round(quantile_cont({x}, 0.5), 9) as {c}_p50", f"round(quantile_cont({x}, 0.95), 9) as {c}_p95"]
     return f"with {R_SQL} select {by}, {', '.join(cells)} from r group by {by}"
 
 
