@@ -400,17 +400,14 @@ def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text", chu
             yield pd.DataFrame({"k": pd.Series(ks, dtype=pdf["k"].dtype), "start_char": pd.Series(ss, dtype="int64"), "end_char": pd.Series(es, dtype="int64")})
 
     short = rows.where(F.length("t") <= chunk_chars).mapInPandas(whole, result)
-    # a key may repeat, so every long row gets a number of its own
-    long = rows.where(F.length("t") > chunk_chars).withColumn("h", F.xxhash64("t"))
-    pieces = (
-        long.select("k", "h", "t", F.length("t").alias("n"), F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk_chars).cast("int"))).alias("i"))
-        .select(
-            "k", "h", "i", "n",
-            F.greatest(F.lit(0), F.col("i") * chunk_chars - MARGIN).alias("base"),
-            F.expr(f"substring(t, greatest(0, i * {chunk_chars} - {MARGIN}) + 1, {chunk_chars} + {2 * MARGIN})").alias("t"),
-        )
+    # long texts are processed once each, by their digest; keys may repeat or be null
+    long = rows.where(F.length("t") > chunk_chars).withColumn("h", F.sha2("t", 256))
+    texts = long.select("h", "t").dropDuplicates(["h"])
+    pieces = texts.select("h", "t", F.length("t").alias("n"), F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk_chars).cast("int"))).alias("i")).select(
+        "h", "i", "n",
+        F.greatest(F.lit(0), F.col("i") * chunk_chars - MARGIN).alias("base"),
+        F.expr(f"substring(t, greatest(0, i * {chunk_chars} - {MARGIN}) + 1, {chunk_chars} + {2 * MARGIN})").alias("t"),
     )
-    at = {"k": kind.simpleString(), "h": "bigint", "i": "int"}
 
     def functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -419,36 +416,36 @@ def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text", chu
                 lo = i * chunk_chars - base
                 f = function_of(t, lo, min(len(t), lo + chunk_chars))
                 fs.append([f[entering(t)]] * _N_STATES if i == 0 else f)
-            yield pdf[["k", "h", "i"]].assign(f=fs)
+            yield pdf[["h", "i"]].assign(f=fs)
 
-    maps = pieces.mapInPandas(functions, ", ".join(f"{c} {x}" for c, x in at.items()) + ", f array<int>")
+    maps = pieces.mapInPandas(functions, "h string, i int, f array<int>")
     # prefix composition: the functions of earlier pieces, folded from any state (the first is constant)
-    before = Window.partitionBy("k", "h").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    states = maps.dropDuplicates(["k", "h", "i"]).select("k", "h", "i", F.aggregate(F.collect_list("f").over(before), F.lit(START), lambda s, f: F.get(f, s)).alias("s"))
+    before = Window.partitionBy("h").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    states = maps.select("h", "i", F.aggregate(F.collect_list("f").over(before), F.lit(START), lambda s, f: F.get(f, s)).alias("s"))
 
     def ends_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows_ = []
-            for k, h, i, n, base, t, s in zip(*(pdf[c].tolist() for c in ("k", "h", "i", "n", "base", "t", "s")), strict=True):
+            for h, i, n, base, t, s in zip(*(pdf[c].tolist() for c in ("h", "i", "n", "base", "t", "s")), strict=True):
                 lo = i * chunk_chars - base
                 hi = min(len(t), lo + chunk_chars)
                 ends, _ = run(t, lo, hi, entering(t) if i == 0 else s)
                 # trimmed end and next start of each cut; a start beyond the context is settled below
                 for e in ends:
-                    rows_.append((k, h, n, base + e))
+                    rows_.append((h, base + e))
                 if i == 0:
-                    rows_.append((k, h, n, 0))
+                    rows_.append((h, 0))
                 if base + hi == n:
-                    rows_.append((k, h, n, n))
-            yield pd.DataFrame(rows_, columns=["k", "h", "n", "cut"]).astype({"k": pdf["k"].dtype})
+                    rows_.append((h, n))
+            yield pd.DataFrame(rows_, columns=["h", "cut"])
 
-    cuts = pieces.join(states, ["k", "h", "i"]).mapInPandas(ends_of, f"k {kind.simpleString()}, h bigint, n int, cut bigint")
-    of_row = Window.partitionBy("k", "h").orderBy("cut")
-    pairs = cuts.dropDuplicates(["k", "h", "cut"]).withColumn("to", F.lead("cut").over(of_row)).where("to is not null")
-    raw = pairs.groupBy("k", "h").agg(F.sort_array(F.collect_list(F.struct("cut", "to"))).alias("u"))
+    cuts = pieces.join(states, ["h", "i"]).mapInPandas(ends_of, "h string, cut bigint")
+    of_text = Window.partitionBy("h").orderBy("cut")
+    pairs = cuts.distinct().withColumn("to", F.lead("cut").over(of_text)).where("to is not null")
+    raw = pairs.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("cut", "to"))).alias("u"))
     trim = "[ \\t\\r\\n\\f\\u000b\\u00a0\\u3000\\ufeff\\u200b\\u2009\\u202f\\u2028\\u2029]"
     units = (
-        long.join(raw, ["k", "h"])
+        long.join(raw, "h")
         .select("k", "t", F.explode("u").alias("u"))
         .select("k", F.col("u.cut").alias("c"), F.expr("substring(t, cast(u.cut + 1 as int), cast(u.to - u.cut as int))").alias("x"))
         .select("k", "c", F.regexp_replace("x", f"^{trim}+", "").alias("y"), F.length("x").alias("n"))
