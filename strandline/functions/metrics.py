@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .text import content_tokens, coverage, jaccard, words
 
@@ -135,7 +136,7 @@ def chrf(prediction: Column, reference: Column, most: int = 6, beta: float = 2.0
     return score(prediction, reference)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two arrays, by rows of its table."""
 
