@@ -116,10 +116,11 @@ def proportion_sample(rows: DataFrame, targets: DataFrame, dims: list[str], id_c
     The sample has target_set, id and the labels; the report, of every target cell,
     what was wanted, available and sampled, and the gap that remains.
     """
-    members = rows.select(F.col(id_col).cast("string").alias("id"), *[label(d).alias(d) for d in dims]).dropna().distinct()
+    names, dims = dims, [f"dim{i}" for i in range(len(dims))]  # whatever the labels are called
+    members = rows.select(F.col(id_col).cast("string").alias("id"), *[label(d).alias(i) for d, i in zip(names, dims, strict=True)]).dropna().distinct()
     available = members.groupBy(*dims).agg(F.count("*").alias("available"))
     wanted = F.greatest("min_rows", F.expr("cast((target_permille * sample_size + 999) div 1000 as int)"))
-    goals = targets.select("target_id", "target_set", *[label(d).alias(d) for d in dims], "target_permille", "min_rows", "sample_size", wanted.alias("wanted"))
+    goals = targets.select("target_id", "target_set", *[label(d).alias(i) for d, i in zip(names, dims, strict=True)], "target_permille", "min_rows", "sample_size", wanted.alias("wanted"))
     cells = goals.join(available, dims, "left").fillna(0, ["available"])
     cell_schema = ", ".join(f"{n} {t}" for n, t in cells.dtypes)
 
@@ -146,4 +147,5 @@ def proportion_sample(rows: DataFrame, targets: DataFrame, dims: list[str], id_c
     sample = _lowest(drawn_from.select("target_set", "id", *dims, "e"), ["target_set", *dims], quotas, "e").drop("e")
     got = sample.groupBy("target_set", *dims).agg(F.count("*").alias("sampled"))
     report = final.join(got, ["target_set", *dims], "left").fillna(0, ["sampled"]).withColumn("gap", F.greatest(F.lit(0), F.col("wanted") - F.col("sampled")))
-    return sample, report.select("target_id", "target_set", *dims, "target_permille", "sample_size", "min_rows", "wanted", "available", "drawn", "sampled", "gap")
+    back = [F.col(i).alias(d) for d, i in zip(names, dims, strict=True)]
+    return sample.select("target_set", "id", *back), report.select("target_id", "target_set", *back, "target_permille", "sample_size", "min_rows", "wanted", "available", "drawn", "sampled", "gap")
