@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, experiments, graphs, ingestion, relational, retrieval, texts
+from .plans import evaluation, experiments, graphs, ingestion, knowledge, relational, retrieval, texts
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP: Query = retrieval.bm25_topk
-MODULES = (texts, ingestion, retrieval, graphs, evaluation, experiments, relational)
+MODULES = (texts, ingestion, retrieval, graphs, knowledge, evaluation, experiments, relational)
 
 
 def queries() -> dict[str, Query]:
