@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -19,15 +19,19 @@ def overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(counts(a, t), counts(b, t)))
 
 
-def precision_recall_f1(prediction: Column, gold: Column) -> tuple[Column, Column, Column]:
-    """Of two normalised texts' words; two empty texts agree fully."""
-    p, g = words(prediction), words(gold)
-    both = F.when((F.size(p) == 0) & (F.size(g) == 0), 1.0)
-    n = overlap(p, g)
-    precision = F.coalesce(both, F.when(F.size(p) > 0, n / F.size(p)).otherwise(0.0))
-    recall = F.coalesce(both, F.when(F.size(g) > 0, n / F.size(g)).otherwise(0.0))
-    f1 = F.coalesce(both, F.when(n > 0, 2.0 * n / (F.size(p) + F.size(g))).otherwise(0.0))
-    return precision, recall, f1
+def token_scores(rows: DataFrame, prediction: Column, gold: Column) -> DataFrame:
+    """Adds precision, recall and f1 of two normalised texts' words; two empty texts agree fully.
+
+    In steps, so that words are split and counted once for all three.
+    """
+    x = rows.withColumn("_p", words(prediction)).withColumn("_g", words(gold))
+    # equal texts need no counting, and most others share no word
+    n = F.when(F.col("_p") == F.col("_g"), F.size("_p")).when(F.arrays_overlap("_p", "_g"), overlap(F.col("_p"), F.col("_g"))).otherwise(0)
+    x = x.withColumn("_n", n).withColumn("_a", F.size("_p")).withColumn("_b", F.size("_g"))
+    none = F.when((F.col("_a") == 0) & (F.col("_b") == 0), 1.0)
+    share = lambda total: F.coalesce(none, F.when(F.col(total) > 0, F.col("_n") / F.col(total)).otherwise(0.0))
+    f1 = F.coalesce(none, F.when(F.col("_n") > 0, 2.0 * F.col("_n") / (F.col("_a") + F.col("_b"))).otherwise(0.0))
+    return x.withColumns({"precision": share("_a"), "recall": share("_b"), "f1": f1}).drop("_p", "_g", "_n", "_a", "_b")
 
 
 def recall_at(retrieved: Column, gold: Column, k: int) -> Column:

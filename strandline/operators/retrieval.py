@@ -17,17 +17,25 @@ from ..functions.vector import min_max, share_of_max, sigmoid
 QUERY_BLOCK = 4_096  # query vectors that are broadcast at once
 
 
-def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
+def postings(docs: DataFrame, key: str, tokens: Column, only: DataFrame | None = None) -> DataFrame:
     """(doc, term, tf, dl): occurrences of every term, with the document's length.
 
     One aggregation per document and term; the length is carried along, so that
-    no join brings it back.
+    no join brings it back.  ``only`` (term) keeps those terms before anything is
+    shuffled.
     """
     t = docs.select(F.col(key).alias("doc"), tokens.alias("t")).where(F.size("t") > 0)
     terms = t.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if only is not None:
+        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
     return terms.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def lengths(docs: DataFrame, tokens: Column) -> DataFrame:
+    """One row: number and mean length of the documents that have tokens."""
+    return docs.select(F.size(tokens).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
+
+
 def ranked(scores: DataFrame, k: int | None = None, by: str = "score", digits: int = 9) -> DataFrame:
     """Adds ``rank``; equal scores (to ``digits``) stand in the order of doc."""
     w = Window.partitionBy("query").orderBy(F.round(F.col(by), digits).desc(), "doc")
@@ -35,14 +43,16 @@ def ranked(scores: DataFrame, k: int | None = None, by: str = "score", digits: i
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, posts: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, posts: DataFrame, stats: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, doc, score) of documents that score above 0.
 
     ``queries`` has (query, term), a repeated term as often as it stands.  Only
-    postings of terms that occur in a query are joined.
+    postings of terms that occur in a query are joined.  ``stats`` is as from
+    lengths(); without it, it is taken from the postings of all terms.
     """
     wanted = queries.groupBy("query", "term").agg(F.count("*").alias("qn"))
-    stats = posts.groupBy("doc").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
+    if stats is None:
+        stats = posts.groupBy("doc").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
     used = posts.join(wanted.select("term").distinct(), "term", "left_semi")
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

@@ -38,8 +38,9 @@ w as (select result_id, list_filter(string_split(p, ' '), lambda w: w <> '') as
 o as (select result_id, len(p) as np, len(g) as ng, coalesce(list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda y: y = t)), len(list_filter(g, lambda z: z = t))))), 0) as n from w)
 select result_id, round(case when np = 0 and ng = 0 then 1.0 when np > 0 then n / np else 0.0 end, 6) as precision, round(case when np = 0 and ng = 0 then 1.0 when ng > 0 then n / ng else 0.0 end, 6) as recall, round(case when np = 0 and ng = 0 then 1.0 when n > 0 then 2.0 * n / (np + ng) else 0.0 end, 6) as f1 from o""")
 def token_f1(spark: SparkSession, d: str) -> DataFrame:
-    p, r, f = E.precision_recall_f1(T.experiment_norm(F.coalesce("prediction", F.lit(""))), T.experiment_norm(F.coalesce("answer", F.lit(""))))
-    return _answers(spark, d).select("result_id", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"))
+    norm = lambda c: T.experiment_norm(F.coalesce(c, F.lit("")))
+    scored = E.token_scores(_answers(spark, d).select("result_id", norm("prediction").alias("p"), norm("answer").alias("g")), F.col("p"), F.col("g"))
+    return scored.select("result_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 RANKED_SQL = f"{SAMPLES_SQL}, r as (select id, list_transform(paragraphs, lambda x: trim(regexp_replace(lower(x.paragraph_text), '[^a-z0-9 ]', ' ', 'g'))) as retrieved, list_distinct(list_transform(list_filter(paragraphs, lambda x: x.is_supporting), lambda x: trim(regexp_replace(lower(x.paragraph_text), '[^a-z0-9 ]', ' ', 'g')))) as gold from s), k as (select id, gold, retrieved, retrieved[1:5] as top, list_filter(range(1, 6), lambda i: i <= len(retrieved) and list_contains(gold, retrieved[i])) as hits from r)"

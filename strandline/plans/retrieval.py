@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..functions import vector as V
 from ..operators import retrieval as R
 from ..registry import query, table
+from ..session import checkpointed
 
 POSTINGS_SQL = """t as (select doc_id as doc, regexp_extract_all(lower(text), '[a-z0-9_]+') as t from documents where text is not null),
 p as (select doc, term, count(*) as tf, any_value(dl) as dl from (select doc, len(t) as dl, unnest(t) as term from t where len(t) > 0) group by 1, 2)"""
@@ -34,7 +35,10 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25(_questions(spark, d), _postings(spark, d))
+    docs, tokens, asked = table(spark, d, "documents").where("text is not null"), T.ascii_tokens(F.col("text")), _questions(spark, d)
+    # counted and joined: the postings of the asked terms are written once instead of tokenising twice
+    posts = checkpointed(R.postings(docs, "doc_id", tokens, only=asked))
+    return R.bm25(asked, posts, R.lengths(docs, tokens))
 
 
 @query(f"with {BM25_SQL} select query, doc, round(score, 6) as score, rank from (select *, row_number() over (partition by query order by round(score, 9) desc, doc)::int as rank from bm) where rank <= 10")
