@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 ARTICLES = ("a", "an", "the")
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 STOP_WORDS = (
-    "a an and are as at be but by for from has he in is it its of on or that the to was were will with this those these they what which who how"
+    "a an and are as at be because by can could for from has have if in into is it its leads of on or that the then this to was were which with"
 ).split()
 QUESTION_WORDS = ("What", "Which", "Who", "Whom", "Whose", "When", "Where", "Why", "How", "Is", "Are", "Was", "Were", "Do", "Does", "Did", "Can", "Could")
-UNKNOWN_ALIASES = ("unknown", "not enough information", "no direct cause", "cannot be determined", "insufficient information")
-UNKNOWN_PATTERN = r"^(unknown|not (enough|sufficient) information|no direct cause|(it )?(cannot|can not) be determined|insufficient (information|evidence))"
+UNKNOWN_PATTERN = r"\b(unknown|none)\b|\bno\s+direct\s+cause\b|\bnot\s+enough\s+information\b|\b(do\s+not|dont|don\s+t)\s+know\b"
 TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "1", "t"), ("false", "no", "n", "0", "f")
 # -----------------------------------------------------------------------------------
 
@@ -85,8 +84,7 @@ def java_hash(c: Column) -> Column:
 
 
 def is_unknown(c: Column) -> Column:
-    n = experiment_norm(c)
-    return n.isin(*UNKNOWN_ALIASES) | n.rlike(UNKNOWN_PATTERN)
+    return experiment_norm(c).rlike(UNKNOWN_PATTERN)
 
 
 def as_boolean(c: Column) -> Column:

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import STOP_WORDS, words
 
-# --- fixed values: cause-and-effect patterns; the last one names the effect first -----
+# --- fixed values: words between a cause and its effect, and patterns of other shape ---
+BETWEEN = ("causes", "results in", "contributes to", "influences", r"leads\s+to", "triggers", "induces", "drives", r"led\s+to", "was followed by")
 CAUSAL_PATTERNS = (
-    (r"([^.;!?]+?) (?:causes|caused) ([^.;!?]+)", False),
-    (r"([^.;!?]+?) (?:leads|led) to ([^.;!?]+)", False),
-    (r"([^.;!?]+?) (?:results|resulted) in ([^.;!?]+)", False),
-    (r"([^.;!?]+?) was followed by ([^.;!?]+)", False),
-    (r"([^.;!?]+?) (?:contributes|contributed) to ([^.;!?]+)", False),
-    (r"([^.;!?]+?) (?:is|was) blamed on ([^.;!?]+)", True),
+    # (words that must be there, pattern, whether the effect stands first)
+    *((k, rf"(?i)([\w\s]+?)\s+{k}\s+([\w\s]+)", False) for k in BETWEEN),
+    ("is caused by", r"(?i)([\w\s]+?)\s+is caused by\s+([\w\s]+)", True),
+    ("because of", r"(?i)because of\s+([\w\s]+?),\s+([\w\s]+)", False),
+    (r"\bif\s", r"(?i)if\s+([\w\s]+?),\s+then\s+([\w\s]+)", False),
 )
-# ----------------------------------------------------------------------------------------
+LEADING = "^(which|that|this|these|those) "
+# -----------------------------------------------------------------------------------------
 
 
 def window_starts(n: Column, size: int, step: int) -> Column:
@@ -88,13 +89,22 @@ def list_windows(c: Column, size: int, overlap: int) -> Column:
 
 
 def causal_triples(docs: DataFrame, key: str, sentence: Column) -> DataFrame:
-    """(key, cause, effect, confidence) by patterns; sides of fewer than three letters are dropped."""
+    """(key, cause, effect, confidence) by patterns, every match of a sentence.
+
+    Sides of fewer than three letters or of stop words only are dropped.
+    """
+
+    def side(c: Column) -> Column:
+        return F.trim(F.regexp_replace(F.trim(F.lower(F.regexp_replace(c, r"\s+", " "))), LEADING, ""))
+
     found = []
-    for pattern, reverse in CAUSAL_PATTERNS:
-        # the verb alone is found in linear time; only sentences that have it are matched with both sides
-        verb = sentence.rlike(pattern[pattern.index("?) ") + 2 : pattern.rindex("(")])
-        a, b = (F.when(verb, F.regexp_extract(sentence, pattern, i)).otherwise("") for i in (1, 2))
-        cause, effect = (b, a) if reverse else (a, b)
-        found.append(F.struct(F.trim(F.lower(cause)).alias("cause"), F.trim(F.lower(effect)).alias("effect")))
-    rows = docs.select(key, F.explode(F.array(*found)).alias("x")).select(key, "x.cause", "x.effect").where("length(cause) >= 3 and length(effect) >= 3")
+    for verb, pattern, reverse in CAUSAL_PATTERNS:
+        # the words alone are found in linear time; only sentences that have them are matched with both sides
+        a, b = (F.regexp_extract_all(sentence, F.lit(pattern), i) for i in (1, 2))
+        both = F.zip_with(*((b, a) if reverse else (a, b)), lambda x, y: F.struct(x.alias("cause"), y.alias("effect")))
+        found.append(F.when(sentence.rlike(f"(?i){verb}"), both).otherwise(F.array().cast("array<struct<cause:string,effect:string>>")))
+    rows = docs.select(key, F.explode(F.flatten(F.array(*found))).alias("x")).select(key, side(F.col("x.cause")).alias("cause"), side(F.col("x.effect")).alias("effect"))
+    stop = F.array(*map(F.lit, STOP_WORDS))
+    for c in ("cause", "effect"):
+        rows = rows.where((F.length(c) >= 3) & (F.size(F.array_except(F.split(c, " "), stop)) > 0))
     return rows.withColumn("confidence", F.when((F.length("cause") < 5) | (F.length("effect") < 5), 0.6).otherwise(0.8))

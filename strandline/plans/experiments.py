@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import experiments as X
 from ..registry import query, table
+from .texts import EXPERIMENT_NORM
 
 R_SQL = "r as (select distinct on (result_id) * from per_question_metrics order by result_id, ingested_at)"
 OK = "coalesce(trim(error), '') = ''"
@@ -55,22 +57,22 @@ def category_macro(spark: SparkSession, d: str) -> DataFrame:
     return X.macro(_results(spark, d), ["condition"], "category", "f1")
 
 
-@query(f"""with {R_SQL}, p as (select condition, not label_true as label_unknown, regexp_matches(lower(trim(coalesce(prediction, ''))), '^(unknown|not enough information|no direct cause)') as predicted from r),
+@query(f"""with {R_SQL}, p as (select condition, not label_true as label_unknown, coalesce(regexp_matches({EXPERIMENT_NORM.format(x='prediction')}, '{T.UNKNOWN_PATTERN}'), false) as predicted from r),
 n as (select condition, count(*) filter (predicted and label_unknown) as tp, count(*) filter (predicted and not label_unknown) as fp, count(*) filter (not predicted and label_unknown) as fn from p where label_unknown is not null group by 1)
 select condition, tp, fp, fn, round(case when tp + fp > 0 then tp / (tp + fp) else 0.0 end, 6) as precision, round(case when tp + fn > 0 then tp / (tp + fn) else 0.0 end, 6) as recall, round(case when 2 * tp + fp + fn > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0.0 end, 6) as f1 from n""")
 def unknown_detection(spark: SparkSession, d: str) -> DataFrame:
-    said = F.lower(F.trim(F.coalesce("prediction", F.lit("")))).rlike("^(unknown|not enough information|no direct cause)")
+    said = F.coalesce(T.is_unknown(F.col("prediction")), F.lit(False))
     return X.unknown_detection(_results(spark, d).select("condition", (~F.col("label_true")).alias("label_unknown"), said.alias("predicted")), ["condition"])
 
 
-@query(f"""with {R_SQL}, a as (select sample_id, avg({_fin('f1')}) as f1, avg({_fin('recall')}) as recall from r where condition = 'hippo_fixed' and {OK} group by 1), b as (select sample_id, avg({_fin('f1')}) as f1, avg({_fin('recall')}) as recall from r where condition = 'hippo_adaptive' and {OK} group by 1),
+@query(f"""with {R_SQL}, a as (select sample_id, avg({_fin('f1')}) as f1, avg({_fin('recall')}) as recall from r where condition = 'graph_basic' and {OK} group by 1), b as (select sample_id, avg({_fin('f1')}) as f1, avg({_fin('recall')}) as recall from r where condition = 'graph_local' and {OK} group by 1),
 j as (select a.sample_id as l, b.sample_id as rr, abs(a.f1 - b.f1) as d1, abs(a.recall - b.recall) as d2 from a full join b using (sample_id)), u as (select 'f1' as metric, l, rr, d1 as d from j union all select 'recall', l, rr, d2 from j)
 select metric, count(*) filter (rr is null) as only_left, count(*) filter (l is null) as only_right, round(avg(d), 6) as mean_diff, round(max(d), 6) as max_diff from u group by 1""")
 def parity_report(spark: SparkSession, d: str) -> DataFrame:
     """Two conditions compared over the samples."""
     r = _results(spark, d).where(X.ok())
     side = lambda c: r.where(F.col("condition") == c).groupBy("sample_id").agg(F.avg(X.finite("f1")).alias("f1"), F.avg(X.finite("recall")).alias("recall"))
-    return X.parity(side("hippo_fixed"), side("hippo_adaptive"), ["sample_id"], ["f1", "recall"])
+    return X.parity(side("graph_basic"), side("graph_local"), ["sample_id"], ["f1", "recall"])
 
 
 @query("with m as (select id, any_value(lexical_overlap_score) as x from example_meta group by id), q as (select quantile_cont(x, 1.0 / 3) as a, quantile_cont(x, 2.0 / 3) as b from m) select id, case when x <= a then 'low' when x <= b then 'mid' when x is not null then 'high' end as bucket from m, q")

@@ -46,10 +46,10 @@ def java_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", T.java_hash(F.col("c_name")).alias("h"))
 
 
-@query(f"with n as (select result_id, min({EXPERIMENT_NORM.format(x='prediction')}) as x from per_question_metrics group by 1) select result_id, x in ('unknown','not enough information','no direct cause','cannot be determined','insufficient information') or regexp_matches(x, '{T.UNKNOWN_PATTERN}') as unknown from n where x is not null")
+@query(f"with n as (select result_id, min({EXPERIMENT_NORM.format(x='prediction')}) as x from per_question_metrics group by 1) select result_id, regexp_matches(x, '{T.UNKNOWN_PATTERN}') as unknown from n where x is not null")
 def unknown_answers(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "per_question_metrics").groupBy("result_id").agg(F.min(T.experiment_norm(F.col("prediction"))).alias("x")).where("x is not null")
-    return rows.select("result_id", (F.col("x").isin(*T.UNKNOWN_ALIASES) | F.col("x").rlike(T.UNKNOWN_PATTERN)).alias("unknown"))
+    return rows.select("result_id", F.col("x").rlike(T.UNKNOWN_PATTERN).alias("unknown"))
 
 
 @query("select id, any_value(list_distinct(list_filter(list_transform(regexp_extract_all(question, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'), lambda r: regexp_replace(r, '^(" + "|".join(T.QUESTION_WORDS) + ") ?', '')), lambda r: r <> ''))).len() as phrases, any_value(contains(lower(question), 'cause')::int + contains(lower(question), 'why')::int + contains(lower(question), 'after')::int) as hits from experiment_samples group by id")
@@ -110,8 +110,10 @@ def packed_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with s as (select doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')) as s from documents where text is not null),
 m as (""" + " union all ".join(
-    f"select doc_id, trim(lower(regexp_extract(s, '{p}', {2 if r else 1}))) as cause, trim(lower(regexp_extract(s, '{p}', {1 if r else 2}))) as effect from s" for p, r in C.CAUSAL_PATTERNS
-) + """) select cause, effect, max(case when length(cause) < 5 or length(effect) < 5 then 0.6::double else 0.8::double end) as confidence, count(*) as n from m where length(cause) >= 3 and length(effect) >= 3 group by 1, 2""")
+    f"select doc_id, regexp_extract_all(s, '{p}', {2 if r else 1}) as a, regexp_extract_all(s, '{p}', {1 if r else 2}) as b from s where regexp_matches(s, '{p}')" for _, p, r in C.CAUSAL_PATTERNS
+) + """), z as (select doc_id, trim(regexp_replace(trim(lower(regexp_replace(unnest(a), '\\s+', ' ', 'g'))), '^(which|that|this|these|those) ', '')) as cause, trim(regexp_replace(trim(lower(regexp_replace(unnest(b), '\\s+', ' ', 'g'))), '^(which|that|this|these|those) ', '')) as effect from m),
+k as (select * from z where length(cause) >= 3 and length(effect) >= 3 and len(list_filter(string_split(cause, ' '), lambda w: w not in (""" + STOP + """))) > 0 and len(list_filter(string_split(effect, ' '), lambda w: w not in (""" + STOP + """))) > 0)
+select cause, effect, max(case when length(cause) < 5 or length(effect) < 5 then 0.6::double else 0.8::double end) as confidence, count(*) as n from k group by 1, 2""")
 def causal_triples(spark: SparkSession, d: str) -> DataFrame:
     """Triples kept once with the largest confidence."""
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(C.sentences(F.col("text"))).alias("s"))
