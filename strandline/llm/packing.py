@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CLASSES = 8
+CLASSES = 4
 GAPS = 20_000  # finished containers whose gaps a worker remembers; further ones stay as they are
 
 

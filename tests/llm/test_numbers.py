@@ -98,7 +98,7 @@ def test_packing_invariants(spark):
     items = spark.createDataFrame([(i, s, "x") for i, s in enumerate(sizes)], "doc_id long, size long, container string").repartition(3)
     out = K.packed(items, 4096).toPandas()
     fill = out.groupby("container")["size"].sum()
-    assert fill.max() <= 4096 and fill.sum() / (len(fill) * 4096) > 0.9
+    assert fill.max() <= 4096 and fill.sum() / (len(fill) * 4096) > 0.97
     total = out.groupby("doc_id")["size"].sum().to_dict()
     assert total == {i: s for i, s in enumerate(sizes) if s}
     pieces = Counter(out.doc_id)
