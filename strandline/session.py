@@ -35,7 +35,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
+            if not sc.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(named)
