@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,20 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, wherever they run and whatever their path; once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_strandline_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / "strandline.zip"  # read by the driver's file server only
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(archive))
+    sc._strandline_shipped = True
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder named by ``spark.checkpoint.dir``.
 
