@@ -74,6 +74,8 @@ NICKNAMES = {
 }
 MIXED_UP = str.maketrans("013458$@", "oleasbsa")
 TYPES_WITHOUT_VARIANTS = ("CONCEPT", "EVENT")
+RARER = 10  # a slip of a word stands in at most one form for so many of the word
+FEW = 2  # forms too few to tell a slip from a name by their number
 # ---------------------------------------------------------------------------------
 
 
@@ -185,12 +187,12 @@ def variants(mentions: DataFrame) -> DataFrame:
     spelt = nodes.withColumn("way", F.explode(F.expr(f"filter(array(key, {turned}), x -> x is not null)"))).withColumn("spelling", F.explode(F.expr(_left_out("way"))))
     first = spelt.where("length(spelling) > 5").withColumn("top", F.max(F.struct("n", "key", "way")).over(Window.partitionBy("spelling")))
     near = first.where(F.expr(f"top.key <> key and {_slip('way', 'top.way')}")).groupBy("key", "way").agg(F.max("top").alias("top"))
-    # of the two words that differ one must be rare: two common words one letter apart are two names
+    # of the two words that differ one must be rare, by itself or beside the other: two common words one letter apart are two names
     common = nodes.select(F.explode(F.array_distinct(F.split("key", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("keys"))
     sides_of = F.expr("array(struct(0 as side, array_except(split(way, ' '), split(top.way, ' ')) as ws), struct(1 as side, array_except(split(top.way, ' '), split(way, ' ')) as ws))")
     differs = near.select("key", "top", F.explode(sides_of).alias("d")).select("key", "top", "d.side", F.explode_outer("d.ws").alias("word")).join(common, "word", "left")
-    rarity = differs.groupBy("key", "top", "side").agg(F.coalesce(F.max("keys"), F.lit(0)).alias("keys")).groupBy("key", "top").agg(F.min("keys").alias("keys"))
-    slips = rarity.where("keys <= 2").groupBy("key").agg(F.max("top").alias("top")).select("key", F.col("top.key").alias("hub"))
+    rarity = differs.groupBy("key", "top", "side").agg(F.coalesce(F.max("keys"), F.lit(0)).alias("keys")).groupBy("key", "top").agg(F.min("keys").alias("keys"), F.max("keys").alias("most"))
+    slips = rarity.where(F.expr(f"keys <= {FEW} or keys * {RARER} <= most")).groupBy("key").agg(F.max("top").alias("top")).select("key", F.col("top.key").alias("hub"))
     slips = checkpointed(slips)
     # a hub may itself be a slip of a greater one
     again = slips.select(F.col("key").alias("hub"), F.col("hub").alias("hub2"))

@@ -27,6 +27,14 @@ def test_shared_surname_and_ambiguous_initial(spark):
     assert variant_pairs(variants(m)).count() == 0
 
 
+def test_one_slip_under_many_surnames(spark):
+    """A slip is rare beside its word, however often it occurs."""
+    surnames = [f"{a}{b}{c}" for a in ("Bema", "Sina", "Kaba", "Lopo") for b in ("lot", "pud", "sif", "gil", "rat") for c in ("uth", "osan")]
+    rows = [(f"Irene {s}", "PERSON") for s in surnames for _ in range(3)] + [(f"Iene {s}", "PERSON") for s in surnames[:4]]
+    got = {tuple(r) for r in variant_pairs(variants(spark.createDataFrame(rows, "name string, type string"))).collect()}
+    assert got == {(f"Iene {s}", f"Irene {s}") for s in surnames[:4]}
+
+
 def test_parse():
     assert parse("Mr. R. Solutigi") == [("I", "r solutigi", "", 0)]
     assert {k for _, k, _, _ in parse("Thea Solutigi")} == {"solutigi theodora", "dorothea solutigi"}
