@@ -9,9 +9,9 @@ leads to a single entity decides.  Slips of the pen are rewritings too: every
 form also stands under all its spellings with one letter left out, so that two
 forms one slip apart meet in an equi-join, and are then compared.
 
-Strings are never compared all against all.  Within the rows of one form each
-is linked to the form's most mentioned spelling only, so a form that many
-strings share costs one row per string.
+Strings are never compared all against all: a form is compared with those that
+share one of its spellings, linked to the most mentioned of them that is a slip
+away, and such links are followed to their end.
 
 Defined results: null and blank names are left out; repeated mentions count
 once as a string (and as weight); names of concepts and events (by the majority
@@ -150,6 +150,19 @@ def _slip(a: str, b: str) -> str:
     return f"(levenshtein({a}, {b}, 1) between 0 and 1 or {swapped})"
 
 
+def _rooted(links: DataFrame) -> DataFrame:
+    """(key, hub) with every hub replaced by the end of its chain; links lead to greater forms, so there are no rings.
+
+    Each round halves the length of every chain.
+    """
+    while True:
+        on = links.select(F.col("key").alias("hub"), F.col("hub").alias("hub2"))
+        moved = checkpointed(links.join(on, "hub", "left").select("key", F.coalesce("hub2", "hub").alias("hub"), F.col("hub2").isNotNull().alias("on")))
+        links = moved.drop("on")
+        if moved.where("on").isEmpty():
+            return links
+
+
 def variants(mentions: DataFrame) -> DataFrame:
     """(name, entity) for every string of ``mentions`` (name, type) that names a person or organisation.
 
@@ -181,22 +194,21 @@ def variants(mentions: DataFrame) -> DataFrame:
     read_as = checkpointed(full.join(support, "key").withColumn("most", most).where("s = most").select("name", "n", "key", "mid", "rule"))
     nodes = read_as.groupBy("key").agg(F.sum("n").alias("n"), F.array_remove(F.collect_set("mid"), "").alias("mids"))
 
-    # slips: each form to the most mentioned one that it shares a spelling with
+    # slips: each form to the most mentioned one of those that it shares a spelling with and that stand the tests;
+    # the rows of a spelling are bounded by the letters that can be put into it
     two = "size(split(key, ' ')) = 2"
     turned = f"case when {two} then concat(split(key, ' ')[1], ' ', split(key, ' ')[0]) end"
-    spelt = nodes.withColumn("way", F.explode(F.expr(f"filter(array(key, {turned}), x -> x is not null)"))).withColumn("spelling", F.explode(F.expr(_left_out("way"))))
-    first = spelt.where("length(spelling) > 5").withColumn("top", F.max(F.struct("n", "key", "way")).over(Window.partitionBy("spelling")))
-    near = first.where(F.expr(f"top.key <> key and {_slip('way', 'top.way')}")).groupBy("key", "way").agg(F.max("top").alias("top"))
+    ways = nodes.select("n", "key", F.explode(F.expr(f"filter(array(key, {turned}), x -> x is not null)")).alias("way"))
+    spelt = checkpointed(ways.withColumn("spelling", F.explode(F.expr(_left_out("way")))).where("length(spelling) > 5"))
+    tops = spelt.select("spelling", F.struct("n", "key", "way").alias("top"))
+    near = spelt.join(tops, "spelling").where(F.expr(f"(top.n, top.key) > (n, key) and {_slip('way', 'top.way')}")).select("key", "way", "top").distinct()
     # of the two words that differ one must be rare, by itself or beside the other: two common words one letter apart are two names
     common = nodes.select(F.explode(F.array_distinct(F.split("key", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("keys"))
     sides_of = F.expr("array(struct(0 as side, array_except(split(way, ' '), split(top.way, ' ')) as ws), struct(1 as side, array_except(split(top.way, ' '), split(way, ' ')) as ws))")
-    differs = near.select("key", "top", F.explode(sides_of).alias("d")).select("key", "top", "d.side", F.explode_outer("d.ws").alias("word")).join(common, "word", "left")
-    rarity = differs.groupBy("key", "top", "side").agg(F.coalesce(F.max("keys"), F.lit(0)).alias("keys")).groupBy("key", "top").agg(F.min("keys").alias("keys"), F.max("keys").alias("most"))
+    differs = near.select("key", "way", "top", F.explode(sides_of).alias("d")).select("key", "way", "top", "d.side", F.explode_outer("d.ws").alias("word")).join(common, "word", "left")
+    rarity = differs.groupBy("key", "way", "top", "side").agg(F.coalesce(F.max("keys"), F.lit(0)).alias("keys")).groupBy("key", "way", "top").agg(F.min("keys").alias("keys"), F.max("keys").alias("most"))
     slips = rarity.where(F.expr(f"keys <= {FEW} or keys * {RARER} <= most")).groupBy("key").agg(F.max("top").alias("top")).select("key", F.col("top.key").alias("hub"))
-    slips = checkpointed(slips)
-    # a hub may itself be a slip of a greater one
-    again = slips.select(F.col("key").alias("hub"), F.col("hub").alias("hub2"))
-    slips = slips.join(again, "hub", "left").select("key", F.coalesce("hub2", "hub").alias("hub"))
+    slips = _rooted(checkpointed(slips))
     rooted = checkpointed(nodes.join(slips, "key", "left").select("key", "n", "mids", F.coalesce("hub", "key").alias("root")))
 
     # the reading that leads to another form, if the name had several

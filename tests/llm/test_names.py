@@ -35,6 +35,17 @@ def test_one_slip_under_many_surnames(spark):
     assert got == {(f"Iene {s}", f"Irene {s}") for s in surnames[:4]}
 
 
+def test_every_neighbour_is_tried_and_chains_are_followed(spark):
+    # the most mentioned neighbour of "Karina Fofosatn" bears another common given name; a slip of a slip of a slip of a slip has one root
+    chain = ["Lopogilikum", "Lopogilkum", "Lopogilkm", "Lopoglkm", "Lopglkm"]
+    rows = [(f"Vera {s}", "PERSON") for k, s in enumerate(chain) for _ in range(9 - 2 * k)]
+    rows += [(f"{g} {s}", "PERSON") for g in ("Marina", "Karina") for s in ("Bemalotuth", "Sinapudu", "Kabasifer")]
+    rows += [("Marina Fofosatn", "PERSON")] * 9 + [("Karina Fofosaton", "PERSON")] * 3 + [("Karina Fofosatn", "PERSON")]
+    got = {tuple(r) for r in variant_pairs(variants(spark.createDataFrame(rows, "name string, type string"))).collect()}
+    same = [[f"Vera {s}" for s in chain], ["Karina Fofosaton", "Karina Fofosatn"]]
+    assert got == {(a, b) for g in same for a in g for b in g if a < b}
+
+
 def test_parse():
     assert parse("Mr. R. Solutigi") == [("I", "r solutigi", "", 0)]
     assert {k for _, k, _, _ in parse("Thea Solutigi")} == {"solutigi theodora", "dorothea solutigi"}
