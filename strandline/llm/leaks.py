@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -90,6 +91,22 @@ def _close(a: str, b: str) -> bool:
     return max(len(x), len(y)) <= most or (len(x) == 2 and x == y[::-1])
 
 
+def _neighbours(words: list[str]) -> Counter:
+    """The pairs of neighbouring letters of words written without blanks."""
+    text = "".join(words)
+    return Counter(map("".join, zip(text, text[1:], strict=False)))
+
+
+def _same_letters(item: Counter, around: list[str]) -> bool:
+    """A bound on the comparison of letters in held().
+
+    There at most 2 letters of the item are outside the matching blocks and at
+    most 4 letters lie between them, which makes 7 blocks at most; so all but
+    2 letters and 7 block ends keep their neighbour: 8 pairs are lost at most.
+    """
+    return (item - _neighbours(around)).total() <= 8
+
+
 def held(item: list[str], around: list[str], whole_only: bool, rare: set[str] = frozenset()) -> bool:
     """Do the words around a hit hold the item's words: all of them, or at least ``WINDOW`` in a row?
 
@@ -123,7 +140,7 @@ def held(item: list[str], around: list[str], whole_only: bool, rare: set[str] =
     if n - ok.sum() + extra[1:n].sum() + 0.2 * slips <= 1.8:
         return True
     a, b = "".join(item), "".join(around)
-    if n - ok.sum() <= 3 and abs(len(a) - len(b)) < 0.8 * len(a) + 60:  # layout within words: compare without word limits
+    if abs(len(a) - len(b)) < 0.8 * len(a) + 60 and _same_letters(_neighbours(item), around):  # layout within words: compare without word limits
         sm = SequenceMatcher(None, a, b, autojunk=False)
         blocks = sm.get_matching_blocks()
         same = sum(x.size for x in blocks if x.size > 1)
@@ -176,6 +193,7 @@ class Index:
         self.vocab: dict[str, int] = {}
         self.sentences = sentences
         self.skeletons: dict[str, str] = {}
+        self.letters: dict[int, Counter] = {}
         ids = [[self.vocab.setdefault(w, len(self.vocab)) for w in ws] for _, _, ws in sentences]
         df = np.bincount([w for x in ids for w in set(x)], minlength=len(self.vocab))
         # words of at most two sentences, or one sentence in a thousand
@@ -201,16 +219,28 @@ class Index:
                 reps.append((keys[order], order))
             self.sizes[width] = (win, where, reps)
 
-    def _could_hold(self, s: int, region: set[int], whole_only: bool) -> bool:
-        """A bound on held(), from which words occur at all: few are missing, or few in a long stretch."""
-        sent = self.ids[s].tolist()
-        there = [w in region for w in sent]
-        if there.count(False) <= 5:
+    def _could_hold(self, s: int, region: set[int], around: list[str]) -> bool:
+        """A bound on held(): few words are missing, or all are there with slips, or the letters are, or a long stretch is."""
+        _, whole_only, words = self.sentences[s]
+        peculiar, least = self.needs[s]
+        letters = self.letters.get(s)
+        if letters is None:
+            letters = self.letters[s] = _neighbours(words)
+        if _same_letters(letters, around):
+            return True
+        if len(peculiar & region) < least:
+            return False
+        absent = [i for i, w in enumerate(self.ids[s].tolist()) if w not in region]
+        if len(absent) <= 5:  # one missing and four slips
+            return True
+        near = set(around)
+        gaps = [i for i in absent if not any(_close(words[i], x) for x in near)]
+        if not gaps and len(absent) <= 9:
             return True
         if whole_only:
             return False
-        gaps = [-1, *(i for i, t in enumerate(there) if not t), len(there)]
-        return any(gaps[min(i + 4, len(gaps) - 1)] - gaps[i] - 1 >= WINDOW for i in range(len(gaps) - 1))
+        gaps = [-1, *gaps, len(words)]
+        return any(gaps[min(i + 2, len(gaps) - 1)] - gaps[i] - 1 >= WINDOW for i in range(len(gaps) - 1))
 
     def search(self, texts: list[str], memo: dict) -> Iterator[tuple[int, int]]:
         """(number of the text, item) of every leak."""
@@ -277,11 +307,8 @@ class Index:
                         at = g - starts[d]
                         if not (at >= 0 and np.array_equal(ids[g : g + n_words], self.ids[s])):
                             region = set(flat[max(starts[d], g - 4) : max(0, g + n_words + 4)])
-                            peculiar, least = self.needs[s]
-                            if len(peculiar & region) < least or not self._could_hold(s, region, whole_only):
-                                continue
                             around = list(map(skeletons, docs[d][max(0, at - 4) : max(0, at + n_words + 4)]))
-                            if not held(ws, around, whole_only, self.rare_words):
+                            if not self._could_hold(s, region, around) or not held(ws, around, whole_only, self.rare_words):
                                 continue
                         found.add((d, item))
                         settled.append((g, g + n_words))

@@ -43,6 +43,45 @@ def test_forms_of_leaks(spark):
     assert L.leaks(docs, items.where("false")).count() == 0 and L.leaks(docs.where("false"), items).count() == 0
 
 
+def test_layout_within_words():
+    """Lost blanks and line wraps within words change no letter, however many words they touch."""
+    words = QUESTION.rstrip("?").split()
+    joined = " ".join(words).replace("Vazuzost barges", "Vazuzostbarges").replace("before the", "beforethe").replace("set in", "setin")
+    wrapped = ITEM.replace("Kimupom", "Kimu\npom").replace("drained", "drai\nned").replace("Mavinast", "Mavi\nnast").replace("marsh", "ma\nrsh")
+    ix = L.Index([(1, True, [L.skeleton(w) for w in L.tokens(QUESTION)]), (2, True, [L.skeleton(w) for w in L.tokens(ITEM)])])
+    texts = [f"He asked: {joined}? Nobody knew.", f"Before. {wrapped} After.", ITEM.replace("Kimupom", "Zazuzo").replace("Mavinast", "Rikiki").replace("Mogafin", "Bobobo").replace("eel", "cod")]
+    assert set(ix.search(texts, L._Memo(ix.vocab))) == {(0, 1), (1, 2)}
+
+
+def test_bound_of_held():
+    """What held() accepts, the bound accepts."""
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(60)]
+    accepted = 0
+    for whole_only in (False, True):
+        for _ in range(1500):
+            item = [rng.choice(vocab) for _ in range(rng.randint(6, 20))]
+            around = list(item)
+            for _ in range(rng.randint(0, 9)):
+                at = rng.randrange(len(around))
+                w = around[at]
+                edit = rng.random()
+                if edit < 0.5:
+                    k = rng.randrange(len(w))
+                    around[at] = w[:k] + rng.choice("xyz") + w[k + 1 :]
+                elif edit < 0.75 and at + 1 < len(around):
+                    around[at : at + 2] = [w + around[at + 1]]
+                elif len(w) > 3:
+                    around[at : at + 1] = [w[:2], w[2:]]
+            around = [rng.choice(vocab) for _ in range(4)] + around + [rng.choice(vocab) for _ in range(4)]
+            ix = L.Index([(1, whole_only, item)])
+            ix.needs = [(set(), 0)]
+            if L.held(item, around, whole_only, ix.rare_words):
+                accepted += 1
+                assert ix._could_hold(0, {ix.vocab.get(w, -1) for w in around}, around), (item, around)
+    assert accepted > 300
+
+
 def test_recall_against_exact_verification():
     """Items with one random edit are found by the sampled walks as by comparing every sentence."""
     rng = random.Random(5)
