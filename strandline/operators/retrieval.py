@@ -61,6 +61,38 @@ def bm25(queries: DataFrame, posts: DataFrame, stats: DataFrame | None = None, k
     return weighted.join(wanted, "term").groupBy("query", "doc").agg(F.sum(F.col("part") * F.col("qn")).alias("score")).where("score > 0")
 
 
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2_000) -> DataFrame:
+    """(src, dst, score), src < dst: all pairs of (id, v) whose cosine is at least the threshold.
+
+    The vectors are dealt into blocks and every two blocks meet in a task of
+    their own; nothing is collected.  Null vectors and those of no length have
+    no pairs, nor have vectors of unequal lengths.
+    """
+    vectors = vectors.where("v is not null and size(v) > 0").select("id", "v")
+    blocks = max(1, -(-vectors.count() // block))
+    kind = vectors.schema["id"].dataType.simpleString()
+    dealt = vectors.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in pdf.groupby(pdf["v"].map(len)):
+            e = np.array(g["v"].tolist(), dtype=np.float64)
+            norm, ids, b = np.linalg.norm(e, axis=1), g["id"].to_numpy(), g["b"].to_numpy()
+            x, y = (b == b.min(), b == b.max())
+            if b.min() == b.max() and pdf["i"].iat[0] != pdf["j"].iat[0]:
+                continue
+            scale = norm[x][:, None] * norm[y][None]
+            s = np.divide(e[x] @ e[y].T, scale, out=np.full(scale.shape, -np.inf), where=scale > 0)
+            r, c = np.nonzero(s >= threshold)
+            left, right = ids[x][r], ids[y][c]
+            ok = left < right if b.min() == b.max() else left != right
+            out.append(pd.DataFrame({"src": np.minimum(left, right)[ok], "dst": np.maximum(left, right)[ok], "score": s[r, c][ok]}))
+        return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "score": []}).astype({"src": pdf["id"].dtype, "dst": pdf["id"].dtype})
+
+    met = dealt.select("id", "v", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    return met.groupBy("i", "j").applyInPandas(pairs, f"src {kind}, dst {kind}, score double")
+
+
 def search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", threshold: float | None = None) -> DataFrame:
     """(query, doc, score): exact search of a stated query set (id, v) in a corpus (id, v).
 

@@ -95,6 +95,12 @@ def synonym_edges(spark: SparkSession, d: str) -> DataFrame:
     return near.groupBy(F.least("query", "doc").alias("src"), F.greatest("query", "doc").alias("dst")).agg(F.round(F.max("score"), 6).alias("weight"))
 
 
+@query(f"with {VECTORS_SQL} select q.id as src, c.id as dst, round(list_cosine_similarity(q.v, c.v), 6) as weight from v q join v c on q.id < c.id where list_cosine_similarity(q.v, c.v) >= 0.3")
+def similarity_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between all vectors of high similarity, undirected: the self join in full, in blocks."""
+    return R.similar_pairs(_vectors(spark, d), 0.3).select("src", "dst", F.round("score", 6).alias("weight"))
+
+
 @query("with e as (select label, unnest(embedding)::double as x, unnest(range(0, len(embedding))) as pos from embeddings) select label, pos::int as pos, round(avg(x), 6) as mean from e group by 1, 2")
 def mean_embeddings(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("label", F.posexplode(V.doubles(F.col("embedding"))).alias("pos", "x"))

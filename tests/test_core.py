@@ -162,3 +162,16 @@ def test_test_set_relations(spark):
     assert [(r.src, r.dst, r.shared) for r in testset.shared_edges(n, "id", F.col("w")).collect()] == [(1, 2, 2)]
     assert one(spark, testset.lead(F.col("t"), 1, 3), t=("string", "One two three four. Five.")) == "One two three"
     assert [r.topic for r in testset.topics(spark.createDataFrame([(1, "salt salt road")], "id int, t string"), "id", "t").collect()] == ["salt"]
+
+
+def test_similar_pairs_against_brute_force(spark):
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(size=(61, 4)).round(3)
+    rows = [(k, x.tolist()) for k, x in enumerate(v, 1)]
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(a + 1, b + 1) for a in range(61) for b in range(a + 1, 61) if unit[a] @ unit[b] >= 0.3}
+    df = spark.createDataFrame([*rows, (98, [0.0] * 4), (99, None), (100, [1.0])], "id long, v array<double>")
+    for block in (10, 1_000):
+        got = [(r.src, r.dst) for r in retrieval.similar_pairs(df, 0.3, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
