@@ -43,15 +43,20 @@ def next_edges(nodes: DataFrame, doc: str, order: str, key: str) -> DataFrame:
 def shared_edges(nodes: DataFrame, key: str, words: str, least: int = 2, common: int = 1000) -> DataFrame:
     """(src, dst, kind, shared) of nodes that share at least so many words.
 
-    Words of more than ``common`` nodes are joined last and only for pairs that
-    rarer words already made, so that no group of all nodes meets itself; a pair
-    whose shared words are all that common is not an edge.
+    Of each node's words, from the rarest on, all but the last ``least`` - 1 make
+    pairs: two nodes that share ``least`` words share one of these.  The words of
+    more than ``common`` nodes are dealt into parts, so that no task holds all
+    pairs of a word.
     """
-    w = nodes.select(F.col(key).alias("node"), F.explode(F.array_distinct(words)).alias("w"))
+    w = nodes.select(F.col(key).alias("node"), F.explode(F.array_distinct(words)).alias("w")).distinct()
     df = w.groupBy("w").agg(F.count("*").alias("df"))
     w = w.join(df, "w")
-    rare = w.where(F.col("df") <= common)
-    pairs = rare.select(F.col("node").alias("src"), "w").join(rare.select(F.col("node").alias("dst"), "w"), "w").where("src < dst").select("src", "dst").distinct()
+    order, of_node = Window.partitionBy("node").orderBy("df", "w"), Window.partitionBy("node")
+    first = w.withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(of_node)).where(F.col("r") <= F.col("n") - (least - 1))
+    first = first.withColumn("parts", F.ceil(F.col("df") / common))
+    dealt = first.select(F.col("node").alias("src"), "w", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    whole = first.select(F.col("node").alias("dst"), "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    pairs = dealt.join(whole, ["w", "part"]).where("src < dst").select("src", "dst").distinct()
     left, right = w.select(F.col("node").alias("src"), "w"), w.select(F.col("node").alias("dst"), "w")
     n = pairs.join(left, "src").join(right, ["dst", "w"]).groupBy("src", "dst").agg(F.count("*").alias("shared"))
     return n.where(F.col("shared") >= least).withColumn("kind", F.lit("shared"))

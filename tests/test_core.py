@@ -175,3 +175,11 @@ def test_similar_pairs_against_brute_force(spark):
     for block in (10, 1_000):
         got = [(r.src, r.dst) for r in retrieval.similar_pairs(df, 0.3, block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_shared_edges_of_common_words(spark):
+    sets = [set("abc"), set("abd"), set("ab"), set("acd"), set("b"), set("cd"), set("abcd")]
+    want = {(i, j, len(a & b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) >= 2}
+    n = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "id int, w array<string>")
+    for common in (1, 2, 1000):
+        assert {(r.src, r.dst, r.shared) for r in testset.shared_edges(n, "id", F.col("w"), common=common).collect()} == want
