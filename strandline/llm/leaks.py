@@ -220,7 +220,11 @@ class Index:
             self.sizes[width] = (win, where, reps)
 
     def _could_hold(self, s: int, region: set[int], around: list[str]) -> bool:
-        """A bound on held(): few words are missing, or all are there with slips, or the letters are, or a long stretch is."""
+        """A bound on held(): few words are missing, or all are there with slips, or the letters are, or a long stretch is.
+
+        One demand is no bound: unless the letters are there, ``needs`` asks for
+        words peculiar to the item as written, so slips in all of those are refused.
+        """
         _, whole_only, words = self.sentences[s]
         peculiar, least = self.needs[s]
         letters = self.letters.get(s)
