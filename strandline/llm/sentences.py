@@ -9,10 +9,12 @@ began, whether the current unit has content yet and whether it is a list item.
 
 Because the symbols are independent of the state, a piece of a document is a
 function from entering state to leaving state.  Documents longer than
-``chunk_chars`` are cut into pieces, every piece is lexed once in parallel and
-its function computed for all states, the functions are composed by prefix
-scan, and each piece is then run from its now known entering state.  Documents
-of one piece are that same computation with a known entering state.
+``chunk_chars`` are cut between two letters of a word, where no event can lie;
+every piece is lexed in parallel and its function computed for all states; the
+functions are composed by a prefix scan in two levels (the pieces of a run of
+``RUN`` pieces, then the runs), and each piece is run from its now known
+entering state.  Short documents are one piece, run by the same loop from the
+initial state.  All of it is linear in the length of the text.
 
 Defined results: null, empty and blank texts have no units; units never
 overlap and never contain surrounding blanks; repeated rows give repeated
@@ -25,10 +27,13 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 # --- fixed values: abbreviations by language, months, quotation marks -------
 NEVER_END = frozenset(
     # English
@@ -280,63 +285,52 @@ def _symbol(text: str, m: re.Match) -> tuple[int, int]:
     return (TERM if b >= len(text) or text[b] in BLANKS else NOP), b
 
 
-def events(text: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
-    """Symbols (with the gap bit), unit ends and event ends of the events that begin in [lo, hi)."""
-    at = lo
-    for m in _lexer(text).finditer(text, max(0, lo - 64)):
+def events(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """Symbols (with the gap bit) and unit ends of the events that begin in [lo, hi).
+
+    An event that ends nothing is part of the text around it.  What is left
+    behind the last event is told by a last symbol, if it is not blank.
+    """
+    at, symbol = lo, _symbol
+    for m in _lexer(text).finditer(text, lo):
         a = m.start()
-        if a < lo:
-            at = max(at, min(m.end(), hi))
-            continue
         if a >= hi:
             break
-        kind, end = _symbol(text, m)
-        gap = a > at and (a - at > 8 or bool(text[at:a].strip(BLANKS)))
+        kind, end = symbol(text, m)
+        if kind == NOP:
+            continue
+        gap = a > at and (text[a - 1] not in BLANKS or text[at] not in BLANKS or bool(text[at:a].strip(BLANKS)))
         at = m.end()
-        yield kind * 2 + gap, end, at
+        yield kind * 2 + gap, end
     if hi > at and text[at:hi].strip(BLANKS):
-        yield NOP * 2 + 1, hi, hi
+        yield NOP * 2 + 1, hi
 
 
-def run(text: str, lo: int, hi: int, state: int) -> tuple[list[int], int]:
-    """Ends of units within [lo, hi) from the entering state, and the leaving state."""
-    ends, table, symbol = [], _TABLE, _symbol
-    if lo or hi < len(text):
-        for sym, end, _ in events(text, lo, hi):
-            key = sym << 9 | state
-            v = table.get(key)
-            if v is None:
-                v = table[key] = _step(state, sym)
-            state = v >> 1
-            if v & 1:
-                ends.append(end)
-        return ends, state
-    at = 0
-    for m in _lexer(text).finditer(text):  # as events(), inlined
-        a = m.start()
-        end = a + 1
-        if text[a] == "." and text[end : end + 1] == " " and (w := text[text.rfind(" ", a - 24 if a > 24 else 0, a) + 1 : a]).isalpha() and 6 < len(w) < 24:
-            kind = TERM  # as _full_stop() has it for words longer than any abbreviation
-        else:
-            kind, end = symbol(text, m)
-            if kind == NOP:
-                continue
-        key = (kind * 2 + (a > at and (a - at > 8 or bool(text[at:a].strip(BLANKS))))) << 9 | state
-        at = m.end()
+def run(text: str, lo: int, hi: int, state: int) -> list[int]:
+    """Ends of units within [lo, hi) from the entering state."""
+    ends, table = [], _TABLE
+    for sym, end in events(text, lo, hi):
+        key = sym << 9 | state
         v = table.get(key)
         if v is None:
-            v = table[key] = _step(state, key >> 9)
+            v = table[key] = _step(state, sym)
         state = v >> 1
         if v & 1:
             ends.append(end)
-    return ends, state
+    return ends
 
 
 def function_of(text: str, lo: int, hi: int) -> list[int]:
     """The leaving state of [lo, hi) for every entering state; equal states are carried on as one."""
     now, classes = list(range(_N_STATES)), list(range(_N_STATES))
-    for sym, _, _ in events(text, lo, hi):
-        step = {s: _TABLE.setdefault(sym << 9 | s, _step(s, sym)) >> 1 for s in set(now)}
+    for sym, _ in events(text, lo, hi):
+        step = {}
+        for s in set(now):
+            key = sym << 9 | s
+            v = _TABLE.get(key)
+            if v is None:
+                v = _TABLE[key] = _step(s, sym)
+            step[s] = v >> 1
         now = [step[s] for s in now]
         if len(set(now)) < len(now):
             first: dict[int, int] = {}
@@ -370,10 +364,32 @@ def split(text: str | None) -> list[tuple[int, int]]:
     """Units of one text."""
     if not text or not text.strip(BLANKS):
         return []
-    return spans(text, run(text, 0, len(text), entering(text))[0])
+    return spans(text, run(text, 0, len(text), entering(text)))
 
 
-MARGIN = 96
+MARGIN = 96  # code points around a piece; the rules look at no more
+RUN = 64  # pieces of a run
+
+
+def cuts(text: str, size: int) -> list[int]:
+    """Beginnings of pieces of at least ``size`` code points, each between two letters, and the text's length."""
+    out, n = [0], len(text)
+    at = size
+    while at < n:
+        if text[at].isalpha() and text[at - 1].isalpha():
+            out.append(at)
+            at += size
+        else:
+            at += 1
+    return [*out, n]
+
+
+def _trimmed(text: str, lo: int, hi: int) -> tuple[int, int] | None:
+    while lo < hi and text[lo] in BLANKS:
+        lo += 1
+    while hi > lo and text[hi - 1] in BLANKS:
+        hi -= 1
+    return (lo, hi) if hi > lo else None
 
 
 def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_chars: int = 16_384) -> DataFrame:
@@ -402,55 +418,74 @@ def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text", chu
     short = rows.where(F.length("t") <= chunk_chars).mapInPandas(whole, result)
     # long texts are processed once each, by their digest; keys may repeat or be null
     long = rows.where(F.length("t") > chunk_chars).withColumn("h", F.sha2("t", 256))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for h, t in zip(pdf["h"], pdf["t"], strict=True):
+                at = cuts(t, chunk_chars)
+                out = []
+                for i, (lo, hi) in enumerate(zip(at, at[1:], strict=False)):
+                    base = max(0, lo - MARGIN)
+                    out.append((h, i, base, lo - base, hi - base, t[base : hi + MARGIN]))
+                yield pd.DataFrame(out, columns=["h", "i", "base", "lo", "hi", "t"])
+
     texts = long.select("h", "t").dropDuplicates(["h"])
-    pieces = texts.select("h", "t", F.length("t").alias("n"), F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk_chars).cast("int"))).alias("i")).select(
-        "h", "i", "n",
-        F.greatest(F.lit(0), F.col("i") * chunk_chars - MARGIN).alias("base"),
-        F.expr(f"substring(t, greatest(0, i * {chunk_chars} - {MARGIN}) + 1, {chunk_chars} + {2 * MARGIN})").alias("t"),
-    )
+    pieces = checkpointed(texts.mapInPandas(cut, "h string, i int, base long, lo int, hi int, t string").repartition("h", "i"))
 
     def functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fs = []
-            for t, i, base in zip(pdf["t"], pdf["i"], pdf["base"], strict=True):
-                lo = i * chunk_chars - base
-                f = function_of(t, lo, min(len(t), lo + chunk_chars))
-                fs.append([f[entering(t)]] * _N_STATES if i == 0 else f)
-            yield pdf[["h", "i"]].assign(f=fs)
-
-    maps = pieces.mapInPandas(functions, "h string, i int, f array<int>")
-    # prefix composition: the functions of earlier pieces, folded from any state (the first is constant)
-    before = Window.partitionBy("h").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    states = maps.select("h", "i", F.aggregate(F.collect_list("f").over(before), F.lit(START), lambda s, f: F.get(f, s)).alias("s"))
-
-    def ends_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for i, lo, hi, t in zip(pdf["i"], pdf["lo"], pdf["hi"], pdf["t"], strict=True):
+                f = function_of(t, lo, hi)
+                fs.append(_packed([f[entering(t)]] * _N_STATES if i == 0 else f))  # the first piece's entering state is known
+            yield pdf[["h", "i"]].assign(run=pdf["i"] // RUN, f=fs)
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each function the composition of those before it, and of all behind the last."""
+        pdf = pdf.sort_values("i")
+        now, out = np.arange(_N_STATES, dtype=np.int16), []
+        for f in pdf["f"]:
+            out.append(now.tobytes())
+            now = np.frombuffer(f, dtype=np.int16)[now]
+        return pd.DataFrame({"h": pdf["h"].iloc[0], "i": [*pdf["i"], -1], "run": pdf["run"].iloc[0], "f": [*out, now.tobytes()]})
+
+    maps = pieces.mapInPandas(functions, "h string, i int, run int, f binary")
+    within = checkpointed(maps.groupBy("h", "run").applyInPandas(scan, "h string, i int, run int, f binary"))
+    runs = within.where("i < 0").select("h", F.col("run").alias("i"), F.lit(0).alias("run"), "f")
+    across = runs.groupBy("h").applyInPandas(scan, "h string, i int, run int, f binary").where("i >= 0").select("h", F.col("i").alias("run"), F.col("f").alias("before"))
+    entered = within.where("i >= 0").join(across, ["h", "run"]).select("h", "i", "f", "before")
+
+    def units_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows_ = []
-            for h, i, n, base, t, s in zip(*(pdf[c].tolist() for c in ("h", "i", "n", "base", "t", "s")), strict=True):
-                lo = i * chunk_chars - base
-                hi = min(len(t), lo + chunk_chars)
-                ends, _ = run(t, lo, hi, entering(t) if i == 0 else s)
-                # trimmed end and next start of each cut; a start beyond the context is settled below
-                for e in ends:
-                    rows_.append((h, base + e))
-                if i == 0:
-                    rows_.append((h, 0))
-                if base + hi == n:
-                    rows_.append((h, n))
-            yield pd.DataFrame(rows_, columns=["h", "cut"])
-
-    cuts = pieces.join(states, ["h", "i"]).mapInPandas(ends_of, "h string, cut bigint")
-    of_text = Window.partitionBy("h").orderBy("cut")
-    pairs = cuts.distinct().withColumn("to", F.lead("cut").over(of_text)).where("to is not null")
-    raw = pairs.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("cut", "to"))).alias("u"))
-    trim = "[ \\t\\r\\n\\f\\u000b\\u00a0\\u3000\\ufeff\\u200b\\u2009\\u202f\\u2028\\u2029]"
-    units = (
-        long.join(raw, "h")
-        .select("k", "t", F.explode("u").alias("u"))
-        .select("k", F.col("u.cut").alias("c"), F.expr("substring(t, cast(u.cut + 1 as int), cast(u.to - u.cut as int))").alias("x"))
-        .select("k", "c", F.regexp_replace("x", f"^{trim}+", "").alias("y"), F.length("x").alias("n"))
-        .select("k", (F.col("c") + F.col("n") - F.length("y")).alias("start_char"), F.length(F.regexp_replace("y", f"{trim}+$", "")).alias("m"))
-        .where("m > 0")
-        .select("k", "start_char", (F.col("start_char") + F.col("m")).alias("end_char"))
-    )
-    return short.unionByName(units).withColumnRenamed("k", key)
+            out = []
+            for h, i, base, lo, hi, t, f, before in zip(*(pdf[c].tolist() for c in ("h", "i", "base", "lo", "hi", "t", "f", "before")), strict=True):
+                if i:
+                    state = int(np.frombuffer(f, dtype=np.int16)[np.frombuffer(before, dtype=np.int16)[START]])
+                else:
+                    state = entering(t)
+                at: int | None = 0 if i == 0 else None  # where the unit begins; unknown for what an earlier piece began
+                begun = lo
+                for e in [*run(t, lo, hi, state), hi]:
+                    if e < begun:
+                        continue
+                    x = _trimmed(t, begun, e)
+                    # a unit is whole if it begins and ends in this piece
+                    out.append((h, i, at, e == hi, *((x[0] + base, x[1] + base) if x else (None, None))))
+                    begun = e
+                    at = base + e
+            yield pd.DataFrame(out, columns=["h", "i", "at", "open", "s", "e"]).astype({"at": "Int64", "s": "Int64", "e": "Int64"})
+
+    parts = checkpointed(pieces.join(entered, ["h", "i"]).mapInPandas(units_of, "h string, i int, at long, open boolean, s long, e long"))
+    whole_units = parts.where("at is not null and not open").select("h", "s", "e")
+    # what crosses pieces: a part whose beginning is unknown belongs to the last beginning of the pieces before it
+    begins = parts.groupBy("h", "i").agg(F.max("at").alias("last"))
+    earlier = Window.partitionBy("h").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    begins = begins.select("h", "i", F.max("last").over(earlier).alias("carried"))
+    crossing = parts.where("at is null or open").join(begins, ["h", "i"]).groupBy("h", F.coalesce("at", "carried").alias("at")).agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    units = whole_units.unionByName(crossing.select("h", "s", "e")).where("s is not null")
+    placed = long.select("k", "h").join(units, "h").select("k", F.col("s").alias("start_char"), F.col("e").alias("end_char"))
+    return short.unionByName(placed).withColumnRenamed("k", key)
+
+
+def _packed(f: list[int]) -> bytes:
+    return np.array(f, dtype=np.int16).tobytes()

@@ -31,22 +31,35 @@ def test_blank_and_marks():
     assert units('"unclosed quote. Then more.\n\nNext. One.') == ['"unclosed quote. Then more.', "Next.", "One."]
 
 
+PARTS = ['He said, "no. Not me." ', "(See p. 4. Twice.) ", "「本当ですか？」と言った。", "A list:\n- one\n- two\n\n", "“真的吗？”他问道。", "Dr. X left! ", "u. v. m. Die ", "text ", "Is it?!" + " " * 9, ". . .5 (", "\n" + " " * 130 + "\n", "ถ้าไม่มี เมืองนี้ ", "Μήπως; Ναι.", "A" * 150]
+
+
+def random_text(rng, most):
+    return "".join(rng.choice(PARTS) for _ in range(rng.randint(1, most)))
+
+
 def test_pieces_compose_to_the_whole():
     rng = random.Random(3)
-    parts = ['He said, "no. Not me." ', "(See p. 4. Twice.) ", "「本当ですか？」と言った。", "A list:\n- one\n- two\n\n", "“真的吗？”他问道。", "Dr. X left! ", "u. v. m. Die ", "text "]
     for _ in range(60):
-        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
-        size, state, ends = rng.randint(7, 90), S.entering(t), []
-        for lo in range(0, len(t), size):
-            hi = min(len(t), lo + size)
-            f = S.function_of(t, lo, hi)
-            e, after = S.run(t, lo, hi, state)
-            assert f[state] == after or (lo == 0 and hi == len(t))
-            ends += e
-            state = after
+        t = random_text(rng, 25)
+        at, state, ends = S.cuts(t, rng.randint(7, 90)), S.entering(t), []
+        for lo, hi in zip(at, at[1:], strict=False):
+            base = max(0, lo - S.MARGIN)
+            piece = t[base : hi + S.MARGIN]
+            ends += [base + e for e in S.run(piece, lo - base, hi - base, state)]
+            state = S.function_of(piece, lo - base, hi - base)[state]
         assert S.spans(t, ends) == S.split(t)
 
 
+def test_operator_equals_split_at_any_piece_size(spark):
+    rng = random.Random(8)
+    rows = [(i, random_text(rng, 60)) for i in range(400)]
+    want = sorted((k, a, b) for k, t in rows for a, b in S.split(t))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (100, 200, 1_000):
+        assert sorted(map(tuple, S.sentence_units(docs, chunk_chars=size).collect())) == want, size
+
+
 def test_table_with_long_null_and_repeated_rows(spark):
     long = 'One "two. Three." Four (five. Six.) seven.\nEight! ' * 60
     rows = [(1, "A. B c. D e.", "x"), (2, None, "x"), (3, "  ", "x"), (4, long, "x"), (4, long, "x"), (None, long + "End", "x"), (5, "Hi! Ho.", None)]
