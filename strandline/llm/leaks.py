@@ -6,7 +6,9 @@ is shorter).  A window is embedded by the CGK random walk, which turns edit
 distance into Hamming distance, and indexed by several bit samples of the
 embedding.  The corpus is read once: each document's windows that could hold
 an item's window at all are embedded by the same walks and looked up, and every
-hit is settled by an exact comparison of the words.
+hit is settled by an exact comparison of the words.  Words of the corpus that
+are one slip away from a word of the items (they share a spelling with one
+letter left out) walk as that word, so that slips do not hide a window.
 
 The items are the stated query set.  They are taken in blocks of bounded size,
 so that the broadcast index is bounded whatever the number of items; the
@@ -38,7 +40,8 @@ SHORTEST = 4  # tokens; shorter sentences are common phrases
 LOST = 2  # tokens of a window that may be outside the items' vocabulary
 SAMPLES = (12, 8, 6, 6, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5)  # sampled positions of each repetition
 STEPS = 2 * WINDOW  # of the walk
-BLOCK_CHARS = 8_000_000  # of items held in one broadcast index
+BLOCK_CHARS = 4_000_000  # of items held in one broadcast index
+NEAR = 1 << 30  # added to the number of a word that is a slip away
 
 # --- fixed values: letters of other scripts that look like Latin ones --------
 LOOKALIKES = str.maketrans(
@@ -91,6 +94,11 @@ def _close(a: str, b: str) -> bool:
     return max(len(x), len(y)) <= most or (len(x) == 2 and x == y[::-1])
 
 
+def _left_out(word: str) -> list[str]:
+    """The word with one letter left out, each way."""
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
 def _neighbours(words: list[str]) -> Counter:
     """The pairs of neighbouring letters of words written without blanks."""
     text = "".join(words)
@@ -196,6 +204,12 @@ class Index:
         self.letters: dict[int, Counter] = {}
         ids = [[self.vocab.setdefault(w, len(self.vocab)) for w in ws] for _, _, ws in sentences]
         df = np.bincount([w for x in ids for w in set(x)], minlength=len(self.vocab))
+        self.words = list(self.vocab)
+        self.spelt: dict[str, list[int]] = {}  # letters, one of them left out, to words
+        for w, k in self.vocab.items():
+            if len(w) > 3 and not w[0].isdigit():
+                for d in _left_out(w):
+                    self.spelt.setdefault(d, []).append(k)
         # words of at most two sentences, or one sentence in a thousand
         self.rare = np.append(df <= max(2, len(ids) // 1000), False)
         self.rare_words = {w for w, k in self.vocab.items() if self.rare[k]}
@@ -257,7 +271,9 @@ class Index:
             starts.append(len(flat))
             flat.extend(map(get, ws))
             flat.extend(pad)
-        ids = np.array(flat, dtype=np.int64)
+        as_written = np.array(flat, dtype=np.int64)
+        ids = np.where(as_written >= NEAR, as_written - NEAR, as_written)
+        flat = ids.tolist()
         first = np.array(starts, dtype=np.int64)
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
         found: set[tuple[int, int]] = set()
@@ -309,7 +325,7 @@ class Index:
                             settled.append((g, g + n_words))
                             continue
                         at = g - starts[d]
-                        if not (at >= 0 and np.array_equal(ids[g : g + n_words], self.ids[s])):
+                        if not (at >= 0 and np.array_equal(as_written[g : g + n_words], self.ids[s])):
                             region = set(flat[max(starts[d], g - 4) : max(0, g + n_words + 4)])
                             around = list(map(skeletons, docs[d][max(0, at - 4) : max(0, at + n_words + 4)]))
                             if not self._could_hold(s, region, around) or not held(ws, around, whole_only, self.rare_words):
@@ -327,16 +343,35 @@ class Index:
 
 
 class _Memo(dict):
-    def __init__(self, vocab: dict[str, int]):
+    """The number of each token's word; of a word a slip away, with ``NEAR`` added; else -1."""
+
+    def __init__(self, index: Index):
         super().__init__()
-        self.vocab = vocab
+        self.index = index
 
     def __missing__(self, token: str) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        v = self[token] = self.vocab.get(skeleton(token), -1)
+        w = skeleton(token)
+        v = self[token] = self.index.vocab[w] if w in self.index.vocab else self._near(w)
         return v
 
+    def _near(self, w: str) -> int:
+        if len(w) < 4 or w[0].isdigit():
+            return -1
+        vocab, spelt, words = self.index.vocab, self.index.spelt, self.index.words
+        if w in spelt:  # a letter is missing
+            return spelt[w][0] + NEAR
+        out = _left_out(w)
+        for d in out:  # a letter too many
+            if len(d) > 3 and d in vocab:
+                return vocab[d] + NEAR
+        for d in out:  # a letter changed, or two of them in turn
+            for k in spelt.get(d, ()):
+                if _close(w, words[k]):
+                    return k + NEAR
+        return -1
+
 
 def item_sentences(items: DataFrame, key: str = "item_id") -> DataFrame:
     """(item, whole_only, words, n) of each passage sentence that stands in one item only, and of each question."""
@@ -354,7 +389,8 @@ def item_sentences(items: DataFrame, key: str = "item_id") -> DataFrame:
                     out.append((k, True, " ".join(map(skeleton, tokens(question)))))
             yield pd.DataFrame(out, columns=["item", "whole_only", "words"])
 
-    rows = items.select(F.col(key).cast("long").alias("item"), "passage", "question").where("item is not null").mapInPandas(cut, "item long, whole_only boolean, words string")
+    kind = items.schema[key].dataType.simpleString()
+    rows = items.select(F.col(key).alias("item"), "passage", "question").where("item is not null").mapInPandas(cut, f"item {kind}, whole_only boolean, words string")
     rows = rows.withColumn("n", F.size(F.split("words", " "))).where(F.col("n") >= SHORTEST)
     return rows.groupBy("words", "n").agg(F.min("item").alias("item"), F.max("item").alias("other"), F.min("whole_only").alias("whole_only")).where("item = other").select("item", "whole_only", "words", "n")
 
@@ -367,7 +403,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     size = sentences.agg(F.sum(F.length("words"))).first()[0] or 0
     blocks = int(size // block_chars) + 1
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") >= SHORTEST)
-    schema = T.StructType([T.StructField("k", kind), T.StructField("item_id", T.LongType())])
+    schema = T.StructType([T.StructField("k", kind), T.StructField("item_id", sentences.schema["item"].dataType)])
     result = None
     for b in range(blocks):
         block = sentences if blocks == 1 else sentences.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
@@ -375,14 +411,15 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
         def search(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
             index = Index(known.value) if known.value else None
-            memo = _Memo(index.vocab) if index else None
+            memo = _Memo(index) if index else None
             for pdf in batches:
                 out = []
                 if index:
                     ks, ts = pdf["k"].tolist(), pdf["t"].tolist()
                     for lo in range(0, len(ts), 2_000):
                         out += [(ks[lo + d], i) for d, i in index.search(ts[lo : lo + 2_000], memo)]
-                yield pd.DataFrame(out, columns=["k", "item_id"]).astype({"k": pdf["k"].dtype, "item_id": "int64"})
+                made = pd.DataFrame(out, columns=["k", "item_id"])
+                yield made.astype({"k": pdf["k"].dtype}) if len(made) else made
 
         part = rows.mapInPandas(search, schema)
         result = part if result is None else result.unionByName(part)

@@ -50,7 +50,7 @@ def test_layout_within_words():
     wrapped = ITEM.replace("Kimupom", "Kimu\npom").replace("drained", "drai\nned").replace("Mavinast", "Mavi\nnast").replace("marsh", "ma\nrsh")
     ix = L.Index([(1, True, [L.skeleton(w) for w in L.tokens(QUESTION)]), (2, True, [L.skeleton(w) for w in L.tokens(ITEM)])])
     texts = [f"He asked: {joined}? Nobody knew.", f"Before. {wrapped} After.", ITEM.replace("Kimupom", "Zazuzo").replace("Mavinast", "Rikiki").replace("Mogafin", "Bobobo").replace("eel", "cod")]
-    assert set(ix.search(texts, L._Memo(ix.vocab))) == {(0, 1), (1, 2)}
+    assert set(ix.search(texts, L._Memo(ix))) == {(0, 1), (1, 2)}
 
 
 def test_bound_of_held():
@@ -94,5 +94,32 @@ def test_recall_against_exact_verification():
         w[at : at + rng.randint(0, 1)] = [rng.choice(vocab)] * rng.randint(0, 1)
         texts.append(" ".join([rng.choice(vocab) for _ in range(15)] + w + [rng.choice(vocab) for _ in range(15)]))
     ix = L.Index(sentences)
-    found = set(ix.search(texts, L._Memo(ix.vocab)))
+    found = set(ix.search(texts, L._Memo(ix)))
     assert len({(i, i) for i in range(300)} & found) >= 297 and all(a == b for a, b in found)
+
+
+def recall_with_slips(every, edits=("lost", "changed", "added", "turned"), seed=9, n=300):
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(4000)]
+    sentences = [(i, False, [rng.choice(vocab) for _ in range(18)]) for i in range(n)]
+
+    def slip(w):
+        k, how = rng.randrange(1, len(w) - 1), rng.choice(edits)
+        return {"lost": w[:k] + w[k + 1 :], "changed": w[:k] + "x" + w[k + 1 :], "added": w[:k] + "q" + w[k:], "turned": w[:k] + w[k + 1] + w[k] + w[k + 2 :]}[how]
+
+    texts = [" ".join([rng.choice(vocab) for _ in range(15)] + [slip(w) if j % every == 0 else w for j, w in enumerate(ws)] + [rng.choice(vocab) for _ in range(15)]) for _, _, ws in sentences]
+    ix = L.Index(sentences)
+    found = set(ix.search(texts, L._Memo(ix)))
+    return len({(i, i) for i in range(n)} & found) / n, all(a == b for a, b in found)
+
+
+def test_recall_with_several_slips():
+    for every in (3, 4, 5, 9):
+        recall, clean = recall_with_slips(every)
+        assert recall >= 0.95 and clean, (every, recall)
+
+
+def test_items_of_any_key(spark):
+    docs, items = tables(spark, [f"Before. {ITEM} After.", QUESTION])
+    got = L.leaks(docs, items.withColumn("item_id", L.F.concat(L.F.lit("k"), "item_id")))
+    assert {tuple(r) for r in got.collect()} == {(0, "k1"), (1, "k1")}
