@@ -32,13 +32,15 @@ def label(c: str) -> Column:
 def rake(cells: pd.DataFrame, dims: list[str], rounds: int = 200) -> np.ndarray:
     """Expected rows of every cell by iterative proportional fitting.
 
-    The margins are every label by itself and the cell.  A cell cannot give
-    more than it has: full cells are fixed, and the rest is fitted again.
+    The weights begin at the rows there are and are fitted in turn to the margin
+    of every label: the sum of the target shares of its cells.  A cell cannot
+    give more than it has: full cells are fixed, and the rest is fitted again.
     """
     have = cells["available"].to_numpy(dtype=float)
     share = cells["target_permille"].to_numpy(dtype=float)
     share = share / max(share.sum(), 1e-12)
     size = min(float(cells["sample_size"].max()), have.sum())
+    margins = [cells.groupby(d, dropna=False).ngroup().to_numpy() for d in dims]
     full = np.zeros(len(cells), dtype=bool)
     w = np.zeros(len(cells))
     while True:
@@ -50,7 +52,6 @@ def rake(cells: pd.DataFrame, dims: list[str], rounds: int = 200) -> np.ndarray:
         w *= left / w.sum()
         want = np.where(free, share, 0)
         want = want / want.sum() * left
-        margins = [cells.groupby(d, dropna=False).ngroup().to_numpy() for d in dims] + [np.arange(len(cells))]
         for _ in range(rounds):
             worst = 0.0
             for m in margins:
@@ -68,27 +69,27 @@ def rake(cells: pd.DataFrame, dims: list[str], rounds: int = 200) -> np.ndarray:
 
 
 def repair(cells: pd.DataFrame) -> np.ndarray:
-    """Final rows of every cell: the drawn ones, filled up to what is wanted, the surplus taken from what is most above its target.
+    """Final rows of every cell: the drawn ones, filled up to what is wanted; the sum is brought to the sample's size at one level.
 
-    Only where the wanted rows alone (they are rounded up) exceed the sample's size is it exceeded.
+    Every cell gets its drawn rows and the level, between what is wanted of it
+    and what it has.  Only where the wanted rows alone (they are rounded up)
+    exceed the sample's size is it exceeded.
     """
     have = cells["available"].to_numpy(dtype=int)
-    n = np.minimum(cells["drawn"].to_numpy(dtype=int), have)
+    drawn = np.minimum(cells["drawn"].to_numpy(dtype=int), have)
     least = np.minimum(cells["wanted"].to_numpy(dtype=int), have)
-    size = min(int(cells["sample_size"].max()), int(have.sum()))
-    target = cells["expected"].to_numpy(dtype=float)
-    n = np.maximum(n, least)
-    while n.sum() != size:
-        if n.sum() > size:
-            gap = np.where(n > least, n - target, -np.inf)
-            if not np.isfinite(gap).any():
-                break
-            n[int(gap.argmax())] -= 1
-        else:
-            gap = np.where(n < have, target - n, -np.inf)
-            if not np.isfinite(gap).any():
-                break
-            n[int(gap.argmax())] += 1
+    size = max(min(int(cells["sample_size"].max()), int(have.sum())), int(least.sum()))
+
+    def at(level: int) -> np.ndarray:
+        return np.clip(drawn + level, least, have)
+
+    lo, hi = -int(drawn.max(initial=0)) - 1, int(have.max(initial=0)) + 1
+    while hi - lo > 1:  # the highest level that does not exceed the size
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if at(mid).sum() <= size else (lo, mid)
+    n, more = at(lo), at(lo + 1)
+    room = np.nonzero(more > n)[0]
+    n[room[: max(0, size - int(n.sum()))]] += 1
     return n
 
 

@@ -34,7 +34,7 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _sampled(spark, d)[1].where("gap > 0 and available < wanted").select("target_id")
+    return _sampled(spark, d)[1].where("gap > 0").select("target_id")
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -63,8 +63,9 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
 def p3_entities(spark: SparkSession, d: str) -> DataFrame:
     from .names import variants
 
+    """Every spelling with its entity and the number of the entity's spellings."""
     members = variants(_mentions(spark, d))
-    return members.groupBy("entity").agg(F.count("*").alias("spellings"), F.min("name").alias("example"))
+    return members.join(members.groupBy("entity").agg(F.count("*").alias("spellings")), "entity").select("name", "entity", "spellings")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +98,9 @@ def p6_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).where("piece = 1").select("doc_id").distinct()
+    """What the packing has divided: documents that stand in more than one container."""
+    containers = _packed(spark, d).groupBy("doc_id").agg(F.min("container").alias("a"), F.max("container").alias("b"))
+    return containers.where("a <> b").select("doc_id")
 
 
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

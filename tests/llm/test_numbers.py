@@ -11,12 +11,29 @@ from strandline.llm import proportions as S
 from strandline.llm import quantiles as Q
 
 
+def test_raking_fits_every_margin():
+    rng = np.random.default_rng(3)
+    cells = pd.DataFrame([(a, b) for a in "xyz" for b in range(4)], columns=["a", "b"]).assign(available=rng.integers(400, 900, 12), sample_size=500, min_rows=1)
+    share = rng.integers(1, 100, 12)
+    cells["target_permille"] = share * 1000 // share.sum()
+    w = S.rake(cells, ["a", "b"])
+    want = cells["target_permille"] / cells["target_permille"].sum() * 500
+    for d in ("a", "b"):
+        assert np.allclose(pd.Series(w).groupby(cells[d]).sum(), want.groupby(cells[d]).sum(), atol=1e-5)
+    # the weights keep the odds ratios of the rows there are: the cells themselves are no margin
+    odds = lambda v: v[0] * v[5] / (v[1] * v[4])
+    assert abs(odds(w) / odds(cells["available"].to_numpy(float)) - 1) < 1e-6
+
+
 def test_raking_and_repair():
     cells = pd.DataFrame({"a": ["x", "x", "y", "y"], "b": [1, 2, 1, 2], "available": [100, 100, 100, 3], "target_permille": [100, 200, 300, 400], "sample_size": 100, "min_rows": 5})
     w = S.rake(cells, ["a", "b"])
-    assert abs(w.sum() - 100) < 1e-6 and w[3] == 3 and abs(w[0] / w[1] - 0.5) < 1e-6
+    assert abs(w.sum() - 100) < 1e-6 and w[3] == 3
     n = S.repair(cells.assign(expected=w, drawn=[40, 30, 27, 3], wanted=[10, 20, 30, 40]))
     assert n.sum() == 100 and (n[:3] >= [10, 20, 30]).all() and n[3] == 3
+    # wanted rows alone exceed the size; nothing is there
+    assert S.repair(cells.assign(expected=w, drawn=[50, 50, 0, 0], wanted=[60, 60, 0, 0])).tolist() == [60, 60, 0, 0]
+    assert S.repair(cells.assign(expected=w, drawn=0, wanted=5, available=0)).tolist() == [0, 0, 0, 0]
 
 
 def test_sample_meets_targets_or_reports(spark):
@@ -104,3 +121,14 @@ def test_packing_invariants(spark):
     pieces = Counter(out.doc_id)
     assert all((pieces[i] > 1) == (s > 4096) for i, s in enumerate(sizes) if s)
     assert K.packed(items.where("false"), 4096).count() == 0
+    # the classes alone: containers of class j take j items each
+    plain = K.packed(items, 4096, fill_gaps=False).toPandas()
+    assert plain.groupby("container")["size"].sum().max() <= 4096 and plain["size"].sum() == out["size"].sum()
+    for _, c in plain.groupby("container"):
+        classes = {min(4096 // s, K.CLASSES) for s in c["size"]}
+        assert len(classes) == 1 and (len(c) <= min(classes) or classes == {K.CLASSES})
+    # what comes out does not depend on how the rows are batched
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    again = K.packed(items, 4096).toPandas()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert again.sort_values(["doc_id", "piece"]).reset_index(drop=True).equals(out.sort_values(["doc_id", "piece"]).reset_index(drop=True))
