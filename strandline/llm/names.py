@@ -3,9 +3,10 @@
 Every string is rewritten to all of its canonical forms: titles, degrees,
 articles and bracketed acronyms are dropped, abbreviated words of organisations
 written out, nicknames replaced by each name they stand for, parts put in
-order, digits read as the letters they resemble.  Forms are exploded and
-equi-joined; a form that leads to several entities is worth little and one that
-leads to a single entity decides.  Slips of the pen are rewritings too: every
+order, middle names cut to initials, digits read as the letters they resemble.
+Forms are exploded and equi-joined.  A form is scored by its rarity: the share
+of its mentions in those of all its entities, so that one that leads to a
+single entity decides and one that leads to several links nothing.  Slips of the pen are rewritings too: every
 form also stands under all its spellings with one letter left out, so that two
 forms one slip apart meet in an equi-join, and are then compared.
 
@@ -70,11 +71,14 @@ NICKNAMES = {
     "mike": "michael", "jim": "james", "jimmy": "james", "jack": "john", "johnny": "john", "tom": "thomas", "tommy": "thomas", "dan": "daniel", "danny": "daniel",
     "dave": "david", "steve": "steven stephen", "tony": "anthony", "chris": "christopher christine", "matt": "matthew", "andy": "andrew", "sam": "samuel samantha",
     "ben": "benjamin", "greg": "gregory", "jeff": "jeffrey", "ken": "kenneth", "ron": "ronald", "tim": "timothy", "sue": "susan", "pat": "patrick patricia",
+    "chuck": "charles", "hank": "henry", "harry": "henry harold", "larry": "lawrence", "jerry": "gerald jeremy", "don": "donald", "ray": "raymond", "phil": "philip",
+    "pete": "peter", "fred": "frederick", "frank": "francis", "walt": "walter", "russ": "russell", "abby": "abigail", "mandy": "amanda", "barb": "barbara", "terry": "terence theresa",
     "jenny": "jennifer", "becky": "rebecca", "debbie": "deborah", "cindy": "cynthia", "max": "maximilian", "fritz": "friedrich", "sepp": "josef", "heinz": "heinrich",
 }
 MIXED_UP = str.maketrans("013458$@", "oleasbsa")
 TYPES_WITHOUT_VARIANTS = ("CONCEPT", "EVENT")
 RARER = 10  # a slip of a word stands in at most one form for so many of the word
+MOST_PARTS = 5  # words of a person's name; longer ones are titles and phrases
 FEW = 2  # forms too few to tell a slip from a name by their number
 # ---------------------------------------------------------------------------------
 
@@ -87,6 +91,7 @@ def parse(name: str) -> list[tuple[str, str, str, int]]:
     """(kind, key, middle, rule) of every reading of a name.
 
     kind ``F`` is a full name: key is its words, two words in byte order.
+    kind ``M`` is a full name with its middle names cut to the first one's initial.
     kind ``I`` is initials and a surname: key is ``initial surname``.
     rule is 0 for words as they stand and 1 where a nickname was replaced.
     """
@@ -124,8 +129,11 @@ def parse(name: str) -> list[tuple[str, str, str, int]]:
         words = words[1:]
     full = [WRITTEN_OUT.get(w, w) for w in words]
     if len(full) > 2 or any(w in OF_ORGANISATIONS for w in full):
-        full = [w for w in full if w not in SMALL_WORDS]
-        return [("F", " ".join(initials + full), "", 0)] if full else []
+        organisation = any(w in OF_ORGANISATIONS for w in full)
+        bare = [w for w in full if w not in SMALL_WORDS]
+        if organisation or len(bare) != len(full) or not 3 <= len(words) <= MOST_PARTS:
+            return [("F", " ".join(initials + bare), "", 0)] if bare else []
+        return _of_several_parts(words, initials)
     if len(words) == 2:
         out = []
         options = [NICKNAMES.get(w, w).split() for w in words]
@@ -139,6 +147,21 @@ def parse(name: str) -> list[tuple[str, str, str, int]]:
     return [("F", " ".join(initials + words), "", 0)] if words else []
 
 
+def _of_several_parts(words: list[str], initials: list[str]) -> list[tuple[str, str, str, int]]:
+    """Readings of a name of three or more words: as it stands, with names for nicknames, the last word first, middle names as initials."""
+    out = [("F", " ".join(initials + words), words[1][0], 0)]
+    for first in NICKNAMES.get(words[0], words[0]).split():
+        told = [first, *words[1:]]
+        if told != words:
+            out.append(("F", " ".join(initials + told), words[1][0], 1))
+        if not initials:
+            for turned in ([*told[1:], told[0]], [told[-1], *told[:-1]]):
+                out.append(("F", " ".join(turned), turned[1][0], 1))
+            # given name, middle initial and surname, as names of two words with an initial are read
+            out.append(("M", " ".join(sorted((told[0], told[-1]))), told[1][0], 1))
+    return out
+
+
 def _left_out(c: str) -> str:
     """SQL for a string and all its spellings with one letter left out."""
     return f"array_distinct(concat(array({c}), transform(sequence(1, greatest(length({c}), 1)), i -> concat(substring({c}, 1, i - 1), substring({c}, i + 1)))))"
@@ -187,16 +210,20 @@ def variants(mentions: DataFrame) -> DataFrame:
     forms = checkpointed(strings.mapInPandas(read, "name string, n long, kind string, key string, mid string, rule int"))
 
     # full names: of several readings the one that more mentions have as it stands
-    full = forms.where("kind = 'F'")
-    support = full.groupBy("key").agg(F.sum(F.when(F.col("rule") == 0, F.col("n")).otherwise(0)).alias("s"))
-    most = F.max("s").over(Window.partitionBy("name"))
+    two = "size(split(key, ' ')) = 2"
+    plain = forms.where("kind = 'F'")
+    support = plain.groupBy("key").agg(F.sum(F.when(F.col("rule") == 0, F.col("n")).otherwise(0)).alias("s"))
+    # a middle name cut to its initial is a reading only where somebody writes that initial
+    written = plain.where(f"rule = 0 and mid <> '' and {two}").select("key", "mid").distinct()
+    full = plain.unionByName(forms.where("kind = 'M'").join(written, ["key", "mid"], "left_semi"))
+    top = F.max(F.struct("s", "key")).over(Window.partitionBy("name"))
     # where no reading stands anywhere else, all are kept until a slip decides
-    read_as = checkpointed(full.join(support, "key").withColumn("most", most).where("s = most").select("name", "n", "key", "mid", "rule"))
+    best = (F.col("s") == F.col("top.s")) & ((F.col("s") == 0) | (F.col("key") == F.col("top.key")))
+    read_as = checkpointed(full.join(support, "key").withColumn("top", top).where(best).select("name", "n", "key", "mid", "rule"))
     nodes = read_as.groupBy("key").agg(F.sum("n").alias("n"), F.array_remove(F.collect_set("mid"), "").alias("mids"))
 
     # slips: each form to the most mentioned one of those that it shares a spelling with and that stand the tests;
     # the rows of a spelling are bounded by the letters that can be put into it
-    two = "size(split(key, ' ')) = 2"
     turned = f"case when {two} then concat(split(key, ' ')[1], ' ', split(key, ' ')[0]) end"
     ways = nodes.select("n", "key", F.explode(F.expr(f"filter(array(key, {turned}), x -> x is not null)")).alias("way"))
     spelt = checkpointed(ways.withColumn("spelling", F.explode(F.expr(_left_out("way")))).where("length(spelling) > 5"))
@@ -217,11 +244,15 @@ def variants(mentions: DataFrame) -> DataFrame:
 
     # initials: by initial, surname and middle initial; then without the middle; then with a slip in the surname
     organisation = F.arrays_overlap(F.split("key", " "), F.array(*map(F.lit, sorted(OF_ORGANISATIONS))))
-    persons = rooted.join(full_names.select("key").distinct(), "key", "left_semi").where(two).where(~organisation)
-    sides = persons.select("root", "mids", F.explode(F.expr("array(struct(split(key, ' ')[0] as g, split(key, ' ')[1] as s), struct(split(key, ' ')[1] as g, split(key, ' ')[0] as s))")).alias("x"))
+    persons = rooted.join(full_names.select("key").distinct(), "key", "left_semi").where(~organisation)
+    ends = "array(struct(split(key, ' ')[0] as g, element_at(split(key, ' '), -1) as s), struct(element_at(split(key, ' '), -1) as g, split(key, ' ')[0] as s))"
+    sides = persons.where(two).select("root", "mids", F.explode(F.expr(ends)).alias("x"))
+    # names of several words answer to initials only with the middle one
+    several = persons.where(f"size(split(key, ' ')) between 3 and {MOST_PARTS}").select("root", "mids", F.explode(F.expr(f"slice({ends}, 1, 1)")).alias("x"))
     sides = sides.select("root", "mids", F.substring("x.g", 1, 1).alias("i"), F.col("x.s").alias("s")).where("length(s) > 1")
     middles = rooted.groupBy("root").agg(F.flatten(F.collect_set("mids")).alias("all_mids"))
     by_initial = sides.select("root", "i", "s").distinct().join(middles, "root")
+    with_middle = several.select("root", F.substring("x.g", 1, 1).alias("i"), F.col("x.s").alias("s")).distinct().join(middles, "root").where("size(all_mids) > 0")
     short = forms.where("kind = 'I'").select("name", "n", F.substring("key", 1, 1).alias("i"), F.substring_index("key", " ", -1).alias("s"), "mid")
     units = short.select("i", "s", "mid").distinct()
 
@@ -232,7 +263,8 @@ def variants(mentions: DataFrame) -> DataFrame:
         best = top.withColumn("b", F.max("grade").over(Window.partitionBy("i", "s", "mid"))).where("grade = b and root = other")
         return best.select("i", "s", "mid", "root")
 
-    exact = checkpointed(decided(units.join(by_initial, ["i", "s"])))
+    asked = units.join(by_initial, ["i", "s"]).unionByName(units.where("mid <> ''").join(with_middle, ["i", "s"]).where("array_contains(all_mids, mid)"))
+    exact = checkpointed(decided(asked))
     rest = units.join(exact, ["i", "s", "mid"], "left_anti").join(by_initial.select("i", "s").distinct(), ["i", "s"], "left_anti")
     a = rest.withColumn("spelling", F.explode(F.expr(_left_out("s")))).where("length(spelling) > 3")
     b = by_initial.withColumnRenamed("s", "t").withColumn("spelling", F.explode(F.expr(_left_out("t")))).where("length(spelling) > 3")

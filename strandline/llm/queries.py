@@ -75,12 +75,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    from ..session import checkpointed
     from . import quantiles as Q
 
     metrics = ["query_latency_ms", "index_latency_ms"]
     rows = _read(spark, d, "per_question_metrics").select("result_id", "condition", F.to_date("finished_at").alias("day"), *metrics)
     rows = rows.dropDuplicates(["result_id"]).drop("result_id")
-    days = Q.sketches(rows, ["condition", "day"], metrics)
+    days = checkpointed(Q.sketches(rows, ["condition", "day"], metrics))  # used for days and totals
     ps = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
     by_day = Q.percentiles(days, ps)
     over_all = Q.percentiles(Q.merged(days, ["condition", "metric"]), ps).withColumn("day", F.lit(None).cast("date"))

@@ -46,6 +46,14 @@ def test_every_neighbour_is_tried_and_chains_are_followed(spark):
     assert got == {(a, b) for g in same for a in g for b in g if a < b}
 
 
+def test_names_of_several_words(spark):
+    same = [["Robert James Smith", "Bob James Smith", "Robert J. Smith", "Bob J. Smith", "R. J. Smith"], ["Maria Garcia Lopez", "Garcia Lopez Maria"], ["Jean-Pierre Martin", "J. P. Martin"]]
+    alone = ["Robert Adam Miller", "Robert P. Smith Harbour Works", "J. K. Martin"]
+    rows = [(n, "PERSON") for g in same for n in g] + [(n, "PERSON") for n in alone]
+    got = {tuple(r) for r in variant_pairs(variants(spark.createDataFrame(rows, "name string, type string"))).collect()}
+    assert got == {(a, b) for g in same for a in g for b in g if a < b}
+
+
 def test_parse():
     assert parse("Mr. R. Solutigi") == [("I", "r solutigi", "", 0)]
     assert {k for _, k, _, _ in parse("Thea Solutigi")} == {"solutigi theodora", "dorothea solutigi"}
