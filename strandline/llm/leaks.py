@@ -41,6 +41,7 @@ LOST = 2  # tokens of a window that may be outside the items' vocabulary
 SAMPLES = (12, 8, 6, 6, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5)  # sampled positions of each repetition
 STEPS = 2 * WINDOW  # of the walk
 BLOCK_CHARS = 4_000_000  # of items held in one broadcast index
+PAIRS_LOST = 8  # of an item's neighbouring letters, see _same_letters()
 NEAR = 1 << 30  # added to the number of a word that is a slip away
 
 # --- fixed values: letters of other scripts that look like Latin ones --------
@@ -112,7 +113,13 @@ def _same_letters(item: Counter, around: list[str]) -> bool:
     most 4 letters lie between them, which makes 7 blocks at most; so all but
     2 letters and 7 block ends keep their neighbour: 8 pairs are lost at most.
     """
-    return (item - _neighbours(around)).total() <= 8
+    return (item - _neighbours(around)).total() <= PAIRS_LOST
+
+
+def _any_close(word: str, others: set[str]) -> bool:
+    """Is a slip of the word among the others?  A slip keeps the first letter or the last."""
+    first, last, n = word[0], word[-1], len(word)
+    return any((x[0] == first or x[-1] == last) and -3 < len(x) - n < 3 and _close(word, x) for x in others)
 
 
 def held(item: list[str], around: list[str], whole_only: bool, rare: set[str] = frozenset()) -> bool:
@@ -241,24 +248,30 @@ class Index:
         """
         _, whole_only, words = self.sentences[s]
         peculiar, least = self.needs[s]
+        absent = [i for i, w in enumerate(self.ids[s].tolist()) if w not in region]
+        if len(peculiar & region) >= least:
+            if len(absent) <= 5:  # one missing and four slips
+                return True
+            near = set(around)
+            gaps = [i for i in absent if not _any_close(words[i], near)]
+            if not gaps and len(absent) <= 9:
+                return True
+            if not whole_only:
+                gaps = [-1, *gaps, len(words)]
+                if any(gaps[min(i + 2, len(gaps) - 1)] - gaps[i] - 1 >= WINDOW for i in range(len(gaps) - 1)):
+                    return True
+        # pairs of letters that stand nowhere here are lost in any comparison
+        joined, lost = "".join(around), 0
+        for i in absent:
+            w = words[i]
+            if w not in joined:
+                lost += sum(w[k : k + 2] not in joined for k in range(len(w) - 1))
+                if lost > PAIRS_LOST:
+                    return False
         letters = self.letters.get(s)
         if letters is None:
             letters = self.letters[s] = _neighbours(words)
-        if _same_letters(letters, around):
-            return True
-        if len(peculiar & region) < least:
-            return False
-        absent = [i for i, w in enumerate(self.ids[s].tolist()) if w not in region]
-        if len(absent) <= 5:  # one missing and four slips
-            return True
-        near = set(around)
-        gaps = [i for i in absent if not any(_close(words[i], x) for x in near)]
-        if not gaps and len(absent) <= 9:
-            return True
-        if whole_only:
-            return False
-        gaps = [-1, *gaps, len(words)]
-        return any(gaps[min(i + 2, len(gaps) - 1)] - gaps[i] - 1 >= WINDOW for i in range(len(gaps) - 1))
+        return _same_letters(letters, around)
 
     def search(self, texts: list[str], memo: dict) -> Iterator[tuple[int, int]]:
         """(number of the text, item) of every leak."""
