@@ -212,10 +212,10 @@ class Index:
         ids = [[self.vocab.setdefault(w, len(self.vocab)) for w in ws] for _, _, ws in sentences]
         df = np.bincount([w for x in ids for w in set(x)], minlength=len(self.vocab))
         self.words = list(self.vocab)
-        self.spelt: dict[str, list[int]] = {}  # letters, one of them left out, to words
+        self.spelt: dict[str, list[int]] = {}  # letters, all or one of them left out, to words
         for w, k in self.vocab.items():
             if len(w) > 3 and not w[0].isdigit():
-                for d in _left_out(w):
+                for d in (w, *_left_out(w)):
                     self.spelt.setdefault(d, []).append(k)
         # words of at most two sentences, or one sentence in a thousand
         self.rare = np.append(df <= max(2, len(ids) // 1000), False)
@@ -284,7 +284,7 @@ class Index:
             starts.append(len(flat))
             flat.extend(map(get, ws))
             flat.extend(pad)
-        as_written = np.array(flat, dtype=np.int64)
+        written, as_written = flat, np.array(flat, dtype=np.int64)
         ids = np.where(as_written >= NEAR, as_written - NEAR, as_written)
         flat = ids.tolist()
         first = np.array(starts, dtype=np.int64)
@@ -340,7 +340,9 @@ class Index:
                         at = g - starts[d]
                         if not (at >= 0 and np.array_equal(as_written[g : g + n_words], self.ids[s])):
                             region = set(flat[max(starts[d], g - 4) : max(0, g + n_words + 4)])
-                            around = list(map(skeletons, docs[d][max(0, at - 4) : max(0, at + n_words + 4)]))
+                            lo_, hi_ = max(0, at - 4), max(0, at + n_words + 4)
+                            read = written[starts[d] + lo_ : starts[d] + min(hi_, len(docs[d]))]
+                            around = [self.words[i] if 0 <= i < NEAR else skeletons(w) for i, w in zip(read, docs[d][lo_:hi_], strict=True)]
                             if not self._could_hold(s, region, around) or not held(ws, around, whole_only, self.rare_words):
                                 continue
                         found.add((d, item))
@@ -372,17 +374,14 @@ class _Memo(dict):
     def _near(self, w: str) -> int:
         if len(w) < 4 or w[0].isdigit():
             return -1
-        vocab, spelt, words = self.index.vocab, self.index.spelt, self.index.words
-        if w in spelt:  # a letter is missing
-            return spelt[w][0] + NEAR
-        out = _left_out(w)
-        for d in out:  # a letter too many
-            if len(d) > 3 and d in vocab:
-                return vocab[d] + NEAR
-        for d in out:  # a letter changed, or two of them in turn
-            for k in spelt.get(d, ()):
-                if _close(w, words[k]):
-                    return k + NEAR
+        get, words = self.index.spelt.get, self.index.words
+        if ks := get(w):  # a letter is missing
+            return ks[0] + NEAR
+        for i in range(len(w)):  # a letter too many or changed, or two of them in turn
+            if ks := get(w[:i] + w[i + 1 :]):
+                for k in ks:
+                    if _close(w, words[k]):
+                        return k + NEAR
         return -1
 
 
