@@ -16,9 +16,16 @@ STOP_WORDS = (
     "a an and are as at be because by can could for from has have if in into is it its leads of on or that the then this to was were which with"
 ).split()
 QUESTION_WORDS = ("What", "Which", "Who", "Whom", "Whose", "When", "Where", "Why", "How", "Is", "Are", "Was", "Were", "Do", "Does", "Did", "Can", "Could")
-UNKNOWN_PATTERN = r"\b(unknown|none)\b|\bno\s+direct\s+cause\b|\bnot\s+enough\s+information\b|\b(do\s+not|dont|don\s+t)\s+know\b"
+UNKNOWN_PATTERNS = (
+    r"\bunknown\b",
+    r"\bnone\b",
+    r"\bno\s+direct\s+cause\b",
+    r"\bnot\s+enough\s+information\b",
+    r"\b(do\s+not|dont|don\s+t)\s+know\b",
+)
 TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "1", "t"), ("false", "no", "n", "0", "f")
 # -----------------------------------------------------------------------------------
+UNKNOWN_PATTERN = "|".join(UNKNOWN_PATTERNS)
 
 
 def words(c: Column) -> Column:
@@ -127,9 +134,14 @@ def title_phrases(c: Column) -> Column:
 
 
 def json_answer(c: Column) -> Column:
-    """The ``answer`` field of a text's JSON object, fenced or bare; null where there is none."""
+    """The ``answer`` field of a text's JSON object, fenced or bare; null where there is none.
+
+    Of an object that breaks off, what there is of the field: the string is closed where the text ends.
+    """
     body = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
-    return F.get_json_object(F.when(body != "", body), "$.answer")
+    begun = F.regexp_extract(c, r'(?s)\{\s*"answer"\s*:\s*("(?:[^"\\]|\\.)*)', 1)
+    closed = F.concat(F.lit('{"answer":'), F.replace(begun, F.lit("\n"), F.lit("\\n")), F.lit('"}'))
+    return F.when(body != "", F.get_json_object(body, "$.answer")).when(begun != "", F.get_json_object(closed, "$.answer"))
 
 
 def html_to_text(c: Column) -> Column:
@@ -152,3 +164,56 @@ def sub_questions(c: Column) -> Column:
     parts = F.transform(F.split(F.regexp_replace(F.trim(c), r"\?+$", ""), r"(?i)\s+and\s+"), lambda p: F.trim(p))
     good = F.size(parts).between(2, 3) & F.forall(parts, lambda p: F.length(p) >= 8)
     return F.when(good, F.transform(parts, lambda p: F.concat(p, F.lit("?")))).otherwise(F.array(F.trim(c)))
+
+
+# --- fixed value: a heading Introduction, and the headings that end its part ---------
+INTRODUCTION = r"(?is)(?:^|\n)[ \t]*(?:\d+\.?[ \t]*)?introduction[ \t]*\n(.*?)(?:\n[ \t]*(?:\d+\.?[ \t]*)?(?:methods?|background|related work|results|discussion|conclusions?|references)[ \t]*\n|$)"
+# ---------------------------------------------------------------------------------------
+
+
+def introduction(c: Column, most: int = 2_200) -> Column:
+    part = F.trim(F.regexp_extract(c, INTRODUCTION, 1))
+    pieces = F.filter(F.transform(F.split(F.regexp_replace(c, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.substring(F.when(part != "", part).otherwise(F.array_join(F.slice(pieces, 1, 4), " ")), 1, most)
+
+
+def is_substantial(text: Column, abstract: Column) -> Column:
+    return (F.length(text) >= 1_800) & (F.length(text) >= 2 * F.coalesce(F.length(abstract), F.lit(0)))
+
+
+def args_key(*args: Column) -> Column:
+    """MD5 of a call's arguments as a list in brackets."""
+    return F.md5(F.concat(F.lit("["), F.concat_ws(", ", *[F.coalesce(a.cast("string"), F.lit("null")) for a in args]), F.lit("]")))
+
+
+def rendered(template: str, values: dict[str, Column]) -> Column:
+    """A template with ``{name}`` replaced by values, null by nothing; unknown names stay."""
+    out, at = [], 0
+    import re
+
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.group(1) in values:
+            out += [F.lit(template[at : m.start()]), F.coalesce(values[m.group(1)].cast("string"), F.lit(""))]
+            at = m.end()
+    return F.concat(*out, F.lit(template[at:]))
+
+
+def canonical_json(m: Column) -> Column:
+    """A map of strings as JSON whose keys stand in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+
+
+def enhanced(question: Column) -> Column:
+    """A question with its capitalised phrases and its content words."""
+    named, key = F.array_sort(title_phrases(question)), F.array_sort(content_tokens(question))
+    part = lambda label, x: F.when(F.size(x) > 0, F.concat(F.lit(label), F.array_join(x, ", "))).otherwise("")
+    return F.concat(question, part(" Entities: ", named), part(" Key terms: ", key))
+
+
+def unicode_decoded(c: Column) -> Column:
+    """Escapes of four hexadecimal digits, pairs of surrogates among them, as their characters; a text without any stays."""
+    body = F.regexp_replace(F.regexp_replace(c, r'\\(?!u[0-9A-Fa-f]{4})', r"\\\\\\\\"), '"', r'\\\\"')
+    for char, escape in (("\n", r"\\n"), ("\r", r"\\r"), ("\t", r"\\t")):
+        body = F.replace(body, F.lit(char), F.lit(escape.replace("\\\\", "\\")))
+    decoded = F.get_json_object(F.concat(F.lit('{"x":"'), body, F.lit('"}')), "$.x")
+    return F.when(c.rlike(r"\\u[0-9A-Fa-f]{4}"), F.coalesce(decoded, c)).otherwise(c)

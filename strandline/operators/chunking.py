@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, words
 
-# --- fixed values: words between a cause and its effect, and patterns of other shape ---
-BETWEEN = ("causes", "results in", "contributes to", "influences", r"leads\s+to", "triggers", "induces", "drives", r"led\s+to", "was followed by")
+# --- fixed values: words that must be there, pattern, whether the effect stands first ---
 CAUSAL_PATTERNS = (
-    # (words that must be there, pattern, whether the effect stands first)
-    *((k, rf"(?i)([\w\s]+?)\s+{k}\s+([\w\s]+)", False) for k in BETWEEN),
+    ("causes", r"(?i)([\w\s]+?)\s+causes\s+([\w\s]+)", False),
+    ("results in", r"(?i)([\w\s]+?)\s+results in\s+([\w\s]+)", False),
+    ("contributes to", r"(?i)([\w\s]+?)\s+contributes to\s+([\w\s]+)", False),
+    ("influences", r"(?i)([\w\s]+?)\s+influences\s+([\w\s]+)", False),
+    (r"leads\s+to", r"(?i)([\w\s]+?)\s+leads\s+to\s+([\w\s]+)", False),
+    ("triggers", r"(?i)([\w\s]+?)\s+triggers\s+([\w\s]+)", False),
+    ("induces", r"(?i)([\w\s]+?)\s+induces\s+([\w\s]+)", False),
+    ("drives", r"(?i)([\w\s]+?)\s+drives\s+([\w\s]+)", False),
     ("is caused by", r"(?i)([\w\s]+?)\s+is caused by\s+([\w\s]+)", True),
     ("because of", r"(?i)because of\s+([\w\s]+?),\s+([\w\s]+)", False),
     (r"\bif\s", r"(?i)if\s+([\w\s]+?),\s+then\s+([\w\s]+)", False),
@@ -108,3 +113,18 @@ def causal_triples(docs: DataFrame, key: str, sentence: Column) -> DataFrame:
     for c in ("cause", "effect"):
         rows = rows.where((F.length(c) >= 3) & (F.size(F.array_except(F.split(c, " "), stop)) > 0))
     return rows.withColumn("confidence", F.when((F.length("cause") < 5) | (F.length("effect") < 5), 0.6).otherwise(0.8))
+
+
+def delimited_windows(docs: DataFrame, key: str, text: Column, delimiter: str, size: int, overlap: int, only: bool = False) -> DataFrame:
+    """(key, ord, tokens, content): parts between delimiters; those of over ``size`` words in windows that share ``overlap``.
+
+    With ``only`` a part that is too long fails the job.  Parts without words have none.
+    """
+    parts = docs.select(key, F.posexplode(F.split(text, f"\\Q{delimiter}\\E")).alias("part", "body"))
+    t = parts.select(key, "part", words(F.col("body")).alias("t")).where(F.size("t") > 0)
+    whole = F.size("t") <= size
+    cut = F.raise_error(F.lit("a part is longer than a chunk")) if only else window_starts(F.size("t"), size, size - overlap)
+    at = t.select(key, "part", "t", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(cut)).alias("start"))
+    part = F.slice("t", F.col("start") + 1, size)
+    order = Window.partitionBy(key).orderBy("part", "start")
+    return at.select(key, (F.row_number().over(order) - 1).alias("ord"), F.size(part).alias("tokens"), F.array_join(part, " ").alias("content"))

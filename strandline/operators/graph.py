@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -90,8 +90,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
-            break
-    return labels.select("node", F.col("label").alias("component"))
+            return labels.select("node", F.col("label").alias("component"))
+    raise RuntimeError(f"labels still move after {most_rounds} rounds")
 
 
 def simple_paths(edges: DataFrame, seeds: DataFrame, most: int, targets: DataFrame | None = None) -> DataFrame:
@@ -173,7 +173,7 @@ def has_cycle(edges: DataFrame) -> bool:
 
 
 def depths(children: DataFrame, most: int = 64) -> DataFrame:
-    """(child, depth) of a hierarchy (child, parent): steps to the root, cut off where a cycle would never end."""
+    """(child, depth) of a hierarchy (child, parent): steps to the root.  A cycle, or more than ``most`` levels, is an error."""
     up = children.select("child", "parent")
     now = up.select("child", F.col("parent").alias("at"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
     for i in range(most):
@@ -181,10 +181,34 @@ def depths(children: DataFrame, most: int = 64) -> DataFrame:
         new = now.join(above, "at", "left").select("child", F.col("next").alias("at"), (F.col("depth") + F.col("next").isNotNull().cast("int")).alias("depth"))
         now = checkpointed(new)
         if not now.where("at is not null").limit(1).count():
-            break
-    return now.select("child", "depth")
+            return now.select("child", "depth")
+    raise RuntimeError(f"a hierarchy of more than {most} levels, or a cycle")
 
 
 def popular(edges: DataFrame, k: int) -> DataFrame:
     d = degrees(edges).withColumn("degree", F.col("indegree") + F.col("outdegree"))
     return d.orderBy(F.desc("degree"), "node").limit(k).select("node", "degree")
+
+
+def expanded(pool: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(src, dst): seed triples, and those of the pool that share an end with one of the step before, ``hops`` times."""
+    pool = pool.select("src", "dst").distinct()
+    found = seeds.select("src", "dst").distinct()
+    for i in range(hops):
+        ends = found.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        near = pool.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").unionByName(pool.join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+        found = found.unionByName(near).distinct()
+        if (i + 1) % CUT_EVERY == 0:
+            found = checkpointed(found)
+    return found
+
+
+def children(edges: DataFrame, seeds: DataFrame, kind: str, levels: int) -> DataFrame:
+    """(node, level): nodes that edges of a kind lead to within so many levels, with the first."""
+    down = reachable(edges.where(F.col("kind") == kind), seeds, levels)
+    return down.where("hops > 0").groupBy("node").agg(F.min("hops").alias("level"))
+
+
+def alternating(a: Column, b: Column, dim: int) -> Column:
+    """A vector of two numbers in turn."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(i % 2 == 0, a.cast("double")).otherwise(b.cast("double")))

@@ -12,28 +12,38 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import min_max, share_of_max, sigmoid
+from ..functions.vector import sigmoid
+from ..session import checkpointed
 
 QUERY_BLOCK = 4_096  # query vectors that are broadcast at once
 
 
-def postings(docs: DataFrame, key: str, tokens: Column, only: DataFrame | None = None) -> DataFrame:
+def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(doc, term, tf, dl): occurrences of every term, with the document's length.
 
     One aggregation per document and term; the length is carried along, so that
-    no join brings it back.  ``only`` (term) keeps those terms before anything is
-    shuffled.
+    no join brings it back.
     """
-    t = docs.select(F.col(key).alias("doc"), tokens.alias("t")).where(F.size("t") > 0)
-    terms = t.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    if only is not None:
-        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
-    return terms.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    t = docs.select(F.col(key).alias("doc"), tokens.alias("t"))
+    return t.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def lengths(docs: DataFrame, tokens: Column) -> DataFrame:
-    """One row: number and mean length of the documents that have tokens."""
-    return docs.select(F.size(tokens).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
+def asked_postings(docs: DataFrame, key: str, tokens: Column, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings of the terms in ``asked`` (term) only, number and mean length of the documents that have tokens).
+
+    Documents are tokenised once: every document also stands under an empty
+    term, from which the statistics come, and only asked terms and that one are
+    shuffled and written.  Besides dl the postings have dd, the document's
+    number of different terms.
+    """
+    t = docs.select(F.col(key).alias("doc"), tokens.alias("t"))
+    # in a step of its own: beside the explode it would be computed for every term
+    t = t.select("doc", "t", F.size("t").alias("dl"), F.size(F.array_distinct("t")).alias("dd"))
+    rows = t.select("doc", "dl", "dd", F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    wanted = asked.select("term").unionByName(asked.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    counted = rows.join(wanted, "term", "left_semi").groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("dd").alias("dd"))
+    posts = checkpointed(counted)
+    return posts.where("term <> ''"), posts.where("term = '' and dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: str = "score", digits: int = 9) -> DataFrame:
@@ -143,9 +153,9 @@ def fused(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
     Every strategy's positive scores are divided by their largest; strategies
     without a weight count 1; of equal contributions the first name is the main one.
     """
-    w = Window.partitionBy("strategy", "query")
     weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("strategy")), F.lit(1.0))
-    parts = scores.withColumn("part", share_of_max(F.col("score"), w) * weight).where("part is not null")
+    tops = scores.where("score > 0").groupBy("strategy", "query").agg(F.max("score").alias("top"))
+    parts = scores.where("score > 0").join(tops, ["strategy", "query"]).withColumn("part", F.col("score") / F.col("top") * weight)
     return parts.groupBy("query", "doc").agg(
         F.sum("part").alias("score"),
         F.array_join(F.array_sort(F.collect_set("strategy")), ",").alias("strategies"),
@@ -199,10 +209,25 @@ def within_budget(rows: DataFrame, group: list[str], order: list[Column], cost:
 def capped(rows: DataFrame, group: list[str], by: str, order: list[Column], most: int, k: int) -> DataFrame:
     """k rows of every group with at most ``most`` of each ``by``; filled up from the rest where they are too few."""
     inner = Window.partitionBy(*group, by).orderBy(*order)
-    over = F.row_number().over(inner) > most
+    # the k best of each ``by`` are enough, so that partitions give up the rest before the shuffle
+    first = rows.withColumn("turn", F.row_number().over(inner)).where(F.col("turn") <= max(k, most))
     outer = Window.partitionBy(*group).orderBy("over", *order)
-    return rows.withColumn("over", over).withColumn("place", F.row_number().over(outer)).where(F.col("place") <= k)
+    return first.withColumn("over", F.col("turn") > most).drop("turn").withColumn("place", F.row_number().over(outer)).where(F.col("place") <= k)
 
 
 def normalised(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("score", min_max(F.col("score"), Window.partitionBy("query")))
+    """Scores of every query brought to [0, 1]; 1 where all are equal.  The bounds are aggregated and joined, not windowed."""
+    bounds = scores.groupBy("query").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    scaled = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    return scores.join(bounds, "query").withColumn("score", scaled).drop("lo", "hi")
+
+
+def path_structure(text: Column, pairs: Column) -> Column:
+    """Mean over (cause, effect) pairs: 1.5 where the text names the cause first, 0.5 where the effect, 0 where not both."""
+    low = F.lower(text)
+
+    def value(p: Column) -> Column:
+        c, e = F.position(p["cause"], low), F.position(p["effect"], low)
+        return F.when((c > 0) & (e > c), 1.5).when((c > 0) & (e > 0), 0.5).otherwise(0.0)
+
+    return F.when(F.size(pairs) > 0, F.aggregate(pairs, F.lit(0.0), lambda s, p: s + value(p)) / F.size(pairs)).otherwise(0.0)

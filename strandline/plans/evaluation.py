@@ -86,16 +86,6 @@ def context_metrics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""with {CONTEXTS_SQL}, t as (select id, list_transform(list_filter(list_transform(string_split(regexp_replace(array_to_string(ctx, ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), lambda s: {_ct('s')}) as st, list_transform(ctx, lambda x: {_ct('x')}) as each from c)
-select id, round(case when len(st) > 0 then len(list_filter(st, lambda s: len(list_filter(each, lambda e: {_cov('s', 'e')} >= 0.5)) > 0)) / len(st) else 0.0 end, 6) as faithfulness from t""")
-def statement_faithfulness(spark: SparkSession, d: str) -> DataFrame:
-    """Of the passages' own sentences, which every splitter should find supported."""
-    from ..operators.chunking import sentences
-
-    rows = _samples(spark, d).select("id", F.transform("paragraphs", lambda x: x["paragraph_text"]).alias("ctx"))
-    return rows.select("id", F.round(E.faithfulness(sentences(F.array_join("ctx", " ")), F.col("ctx")), 6).alias("faithfulness"))
-
-
 def _grams(x: str, n: int) -> str:
     return f"(case when len({x}) >= {n} then list_transform(range(1, len({x}) - {n - 2}), lambda i: array_to_string({x}[i:i + {n - 1}], ' ')) else [] end)"
 

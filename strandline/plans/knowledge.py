@@ -118,22 +118,6 @@ def context_precision(spark: SparkSession, d: str) -> DataFrame:
 SENT = "list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
 
 
-@query(f"""with {CONTEXTS_SQL}, t as (select id, list_transform({SENT.format(x="array_to_string(ctx, ' ')")}, lambda s: {_ct('s')}) as st, {_ct('question')} as r, list_transform(ctx, lambda x: {_ct('x')}) as each from c)
-select id, round(case when len(st) > 0 then len(list_filter(st, lambda s: {_cov('s', 'r')} < 0.5 and len(list_filter(each, lambda e: {_cov('s', 'e')} >= 0.5)) > 0)) / len(st) else 0.0 end, 6) as noise from t""")
-def noise_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    """Of the passages' own sentences against the question."""
-    rows = _samples(spark, d).select("id", "question", CONTEXTS().alias("ctx"))
-    return rows.select("id", F.round(J.noise_sensitivity(sentences(F.array_join("ctx", " ")), F.col("question"), F.col("ctx")), 6).alias("noise"))
-
-
-@query(f"""with {CONTEXTS_SQL}, t as (select id, question, ctx, array_to_string(ctx, ' ') as text from c), k as (select id, {_ct('text')} as w, {_ct('question')} as q, length(question) as n, length(text) as m, list_filter(regexp_extract_all(text, '"([^"]+)"', 1), lambda s: len(list_filter(string_split_regex(trim(s), '\\s+'), lambda y: y <> '')) >= 3) as sp, lower(text) as low from t)
-select id, round(0.5 * {_cov('w', 'q')} + 0.5 * case when m > 0 then 1 - least(n, m) / m else 0.0 end, 6) as summary_score, round(case when len(sp) > 0 then len(list_filter(sp, lambda s: contains(low, lower(s)))) / len(sp) else 1.0 end, 6) as quoted from k""")
-def summary_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The question as a summary of its passages, and quotations in them."""
-    rows = _samples(spark, d).select("id", "question", CONTEXTS().alias("ctx"))
-    return rows.select("id", F.round(J.summary_score(F.col("question"), F.col("ctx")), 6).alias("summary_score"), F.round(J.quoted_alignment(F.array_join("ctx", " "), F.col("ctx")), 6).alias("quoted"))
-
-
 @query(f"""with {CONTEXTS_SQL}, t as (select id, {_ct('answer')} as a, list_transform(ctx, lambda x: {_ct('x')}) as each from c where answer is not null)
 select id, round(coalesce(list_max(list_transform(each, lambda e: case when len(a) > 0 and len(e) > 0 then len(list_intersect(a, e)) / len(list_distinct(list_concat(a, e))) else 0.0 end)), 0.0), 6) as best_match from t""")
 def best_matches(spark: SparkSession, d: str) -> DataFrame:

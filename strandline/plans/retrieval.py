@@ -22,8 +22,6 @@ BM25_SQL = f"""{POSTINGS_SQL}, {QUERIES_SQL},
 st as (select count(*) as n, avg(dl) as av from (select doc, any_value(dl) as dl from p group by 1)),
 df as (select term, count(*) as df from p group by 1),
 bm as (select query, doc, sum(qn * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))) as score from p join q using (term) join df using (term), st group by 1, 2)"""
-CAUSES = ("cheap credit", "road salt", "night shifts", "soil compaction", "acid runoff", "poor sleep")
-EFFECTS = ("basement damp", "fish kills", "insomnia", "weight gain", "brittle bones", "crop failure")
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
@@ -34,11 +32,15 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").where("item_id % 20 = 0").select(F.col("item_id").alias("query"), F.explode(T.ascii_tokens(F.col("question"))).alias("term"))
 
 
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The questions' terms, their postings and the corpus statistics."""
+    asked = _questions(spark, d)
+    docs = table(spark, d, "documents").where("text is not null")
+    return asked, *R.asked_postings(docs, "doc_id", T.ascii_tokens(F.col("text")), asked)
+
+
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    docs, tokens, asked = table(spark, d, "documents").where("text is not null"), T.ascii_tokens(F.col("text")), _questions(spark, d)
-    # counted and joined: the postings of the asked terms are written once instead of tokenising twice
-    posts = checkpointed(R.postings(docs, "doc_id", tokens, only=asked))
-    return R.bm25(asked, posts, R.lengths(docs, tokens))
+    return R.bm25(*_asked(spark, d))
 
 
 @query(f"with {BM25_SQL} select query, doc, round(score, 6) as score, rank from (select *, row_number() over (partition by query order by round(score, 9) desc, doc)::int as rank from bm) where rank <= 10")
@@ -143,34 +145,86 @@ def candidate_merge(spark: SparkSession, d: str) -> DataFrame:
     return m.select("query", "doc", F.round("text_score", 6).alias("text_score"), F.round("title_score", 6).alias("title_score"))
 
 
-_C, _E = "[" + ",".join(f"'{c}'" for c in CAUSES) + "]", "[" + ",".join(f"'{e}'" for e in EFFECTS) + "]"
-HYBRID_SQL = f"""with x as (select doc_id as doc, lower(text) as t, len(regexp_extract_all(lower(text), '[a-z0-9_]+')) as n from documents where text is not null),
-f as (select doc, n, len(list_filter({_C} || {_E}, lambda k: contains(t, k))) / 12.0 as node, len(list_filter(range(1, 7), lambda i: instr(t, {_C}[i]) > 0 and instr(t, {_E}[i]) > instr(t, {_C}[i]))) / 6.0 as pair from x)
-select doc, round(node, 6) as node, round(pair, 6) as pair, round(0.4 * least(1.0, n / 500.0) + 0.5 * (0.7 * node + 0.3 * pair) + 0.1 * least(1.0, n / 100.0), 6) as score, round(1 / (1 + exp(-(2.0 * pair + 2.0 * node - 1.5 * 0.5 - 0.5))), 6) as gate from f"""
-
-
-@query(HYBRID_SQL)
+HYBRID_CTES = f"""{BM25_SQL}, r as (select * from (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from bm) where rank <= 50),
+am as (select query, case when b is null then 1 - a when a > 0 then 1 - (a - b) / a else 1.0 end as ambiguity from (select query, max(score) filter (rank = 1) as a, max(score) filter (rank = 2) as b from r group by 1)),
+qs as (select query, count(*) as nq from q group by 1), cm as (select query, doc, count(*) as common from p join q using (term) group by 1, 2), dd as (select doc, len(list_distinct(t)) as dd from t),
+lh as (select query, min(score) as lo, max(score) as hi from r group by 1),
+nd as (select item_id as query, list_sort(list_filter(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')), lambda w: length(w) >= 3 and not list_contains([{', '.join(f"'{w}'" for w in T.STOP_WORDS)}], w))) as nodes from eval_items where item_id % 20 = 0),
+x as (select query, doc, lower(d.text) as t, common / sqrt(nq * dd) as semantic, case when hi = lo then 1.0 else (score - lo) / (hi - lo) end as lexical, nodes, ambiguity,
+list_transform(range(1, len(nodes)), lambda i: [instr(lower(d.text), nodes[i]), instr(lower(d.text), nodes[i + 1])]) as ps
+from r join lh using (query) join qs using (query) join cm using (query, doc) join dd using (doc) join nd using (query) join am using (query) join documents d on d.doc_id = r.doc),
+f as (select query, doc, semantic, lexical, nodes, ambiguity, case when len(nodes) > 0 then len(list_filter(nodes, lambda k: contains(t, k))) / len(nodes) else 0.0 end as node,
+case when len(ps) > 0 then len(list_filter(ps, lambda a: a[1] > 0 and a[2] > a[1])) / len(ps) else 0.0 end as pair,
+case when len(ps) > 0 then list_sum(list_transform(ps, lambda a: case when a[1] > 0 and a[2] > a[1] then 1.5 when a[1] > 0 and a[2] > 0 then 0.5 else 0.0 end)) / len(ps) else 0.0 end as structure from x)"""
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 best passages of every question by BM25, with their semantic, lexical and causal features.
+
+    Semantic is the cosine of the two texts' sets of words; a question's nodes
+    are its content words, and its paths lead from each to the next.
+    """
+    asked, posts, stats = _asked(spark, d)
+    best = checkpointed(R.ranked(R.bm25(asked, posts, stats), 50))
+    terms = asked.distinct()
+    common = posts.join(terms, "term").join(best.select("query", "doc"), ["query", "doc"], "left_semi").groupBy("query", "doc").agg(F.count("*").alias("common"), F.first("dd").alias("dd"))
+    nodes = F.array_sort(F.filter(T.content_tokens(F.col("question")), lambda w: F.length(w) >= 3))
+    steps = F.when(F.size("nodes") > 1, F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), lambda i: F.struct(F.get("nodes", i - 1).alias("cause"), F.get("nodes", i).alias("effect"))))
+    questions = table(spark, d, "eval_items").where("item_id % 20 = 0").select(F.col("item_id").alias("query"), nodes.alias("nodes"))
+    questions = questions.withColumn("paths", F.coalesce(steps, F.array().cast("array<struct<cause:string,effect:string>>")))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    rows = R.normalised(best).withColumnRenamed("score", "lexical").join(common, ["query", "doc"]).join(terms.groupBy("query").agg(F.count("*").alias("nq")), "query")
+    rows = rows.join(questions, "query").join(R.ambiguity(best), "query").join(texts, "doc")
+    return rows.select(
+        "query", "doc", "lexical", "ambiguity", F.size("nodes").alias("n_nodes"), (F.col("common") / F.sqrt(F.col("nq") * F.col("dd"))).alias("semantic"),
+        R.node_match(F.col("text"), F.col("nodes")).alias("node"), R.ordered_pairs(F.col("text"), F.col("paths")).alias("pair"), R.path_structure(F.col("text"), F.col("paths")).alias("structure"),
+    )
+
+
+@query(f"""with {HYBRID_CTES} select query, doc, round(semantic, 6) as semantic, round(lexical, 6) as lexical, round(node, 6) as node, round(pair, 6) as pair,
+round(0.4 * semantic + 0.5 * (0.7 * node + 0.3 * pair) + 0.1 * lexical, 6) as score, round(1 / (1 + exp(-(2.0 * pair + 2.0 * node - 1.5 * ambiguity - 0.5))), 6) as gate from f""")
 def hybrid_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Causal features of every document for a stated set of causes and effects."""
-    nodes = F.array(*map(F.lit, CAUSES + EFFECTS))
-    pairs = F.array(*[F.struct(F.lit(c).alias("cause"), F.lit(e).alias("effect")) for c, e in zip(CAUSES, EFFECTS, strict=True)])
-    n = F.size(T.ascii_tokens(F.col("text")))
-    docs = table(spark, d, "documents").where("text is not null").select(
-        F.col("doc_id").alias("doc"), n.alias("n"), R.node_match(F.col("text"), nodes).alias("node"), R.ordered_pairs(F.col("text"), pairs).alias("pair")
-    )
-    score = R.hybrid_score(F.least(F.lit(1.0), F.col("n") / 500.0), F.col("node"), F.col("pair"), F.least(F.lit(1.0), F.col("n") / 100.0))
-    return docs.select("doc", F.round("node", 6).alias("node"), F.round("pair", 6).alias("pair"), F.round(score, 6).alias("score"), F.round(R.gate(F.col("pair"), F.col("node"), F.lit(0.5)), 6).alias("gate"))
-
+    """Semantic, causal and lexical score of the candidates, and the causal share of the budget."""
+    f = _features(spark, d)
+    score = R.hybrid_score(F.col("semantic"), F.col("node"), F.col("pair"), F.col("lexical"))
+    gate = R.gate(F.col("pair"), F.col("node"), F.col("ambiguity"))
+    return f.select("query", "doc", *[F.round(c, 6).alias(c) for c in ("semantic", "lexical", "node", "pair")], F.round(score, 6).alias("score"), F.round(gate, 6).alias("gate"))
+
+
+@query(f"""with {HYBRID_CTES}, w as (select *, 1 / (1 + exp(-(2.0 * pair + 2.0 * node - 1.5 * ambiguity - 0.5))) as gate from f), c as (select *, 0.9 * gate * (node + pair) / 2 as causal from w),
+tops as (select query, avg(k) as first from (select query, 0.7 * node + 0.3 * pair as k, row_number() over (partition by query order by round(semantic, 9) desc, doc) as r from c) where r <= 5 group by 1),
+m as (select c.*, causal + (0.9 - causal) * 0.5 * first as adapted from c join tops using (query))
+select query, doc, round(causal, 6) as causal, round(0.9 - causal, 6) as semantic_weight, round(adapted, 6) as adapted, round((0.9 - adapted) * semantic + adapted * (0.7 * node + 0.3 * pair) + 0.1 * lexical, 6) as score from m""")
+def adaptive_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The gate's share switched by the confidence of nodes and paths, then led by the causal score of the first five by meaning."""
+    f = _features(spark, d)
+    match = 0.7 * F.col("node") + 0.3 * F.col("pair")
+    causal = 0.9 * R.gate(F.col("pair"), F.col("node"), F.col("ambiguity")) * (F.col("node") + F.col("pair")) / 2
+    first = R.ranked(f.withColumn("k", match), 5, by="semantic").groupBy("query").agg(F.avg("k").alias("first"))
+    m = f.join(first, "query").withColumn("causal", causal).withColumn("adapted", F.col("causal") + (0.9 - F.col("causal")) * 0.5 * F.col("first"))
+    score = (0.9 - F.col("adapted")) * F.col("semantic") + F.col("adapted") * match + 0.1 * F.col("lexical")
+    return m.select("query", "doc", F.round("causal", 6).alias("causal"), F.round(0.9 - F.col("causal"), 6).alias("semantic_weight"), F.round("adapted", 6).alias("adapted"), F.round(score, 6).alias("score"))
+
+
+@query(f"""with {HYBRID_CTES}, raw as (select *, 1.0 * node + 2.0 * structure + 0.5 * semantic as raw from f), m as (select query, min(raw) as lo, max(raw) as hi from raw group by 1)
+select query, doc, round(case when len(nodes) = 0 then 0.1 when hi = lo then 1.0 else (raw - lo) / (hi - lo) end, 6) as score from raw join m using (query)""")
+def causal_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap of nodes, twice the structure of paths and half the semantic score, scaled to [0, 1]; 0.1 for a question without nodes."""
+    f = _features(spark, d)
+    raw = f.withColumn("score", F.col("node") + 2.0 * F.col("structure") + 0.5 * F.col("semantic"))
+    scaled = R.normalised(raw)
+    return scaled.select("query", "doc", F.round(F.when(F.col("n_nodes") == 0, 0.1).otherwise(F.col("score")), 6).alias("score"))
 
 
-@query(f"""with h as ({HYBRID_SQL}), r as (select doc, 1.0 * node + 2.0 * pair + 0.5 * score as raw from h), m as (select min(raw) as lo, max(raw) as hi from r)
-select doc, round(case when hi = lo then 1.0 else (raw - lo) / (hi - lo) end, 6) as score from r, m""")
-def causal_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """Overlap of nodes, twice the structure of paths and half the score, scaled to [0, 1]."""
-    raw = hybrid_scores(spark, d).select("doc", (F.col("node") + 2.0 * F.col("pair") + 0.5 * F.col("score")).alias("raw"))
-    bounds = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
-    scaled = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    return raw.crossJoin(F.broadcast(bounds)).select("doc", F.round(scaled, 6).alias("score"))  # bounds is one row
+@query(f"""with {HYBRID_CTES} select query, doc, 'Matched ' || (node * len(nodes))::int || ' of ' || len(nodes) || ' nodes' || case when pair > 0 then '; paths in order' else '' end || case when lexical >= 0.5 then '; words agree' else '' end as explanation from f""")
+def explanations(spark: SparkSession, d: str) -> DataFrame:
+    """What speaks for a passage, in words."""
+    f = _features(spark, d)
+    text = F.concat(
+        F.lit("Matched "), F.round(F.col("node") * F.col("n_nodes")).cast("int").cast("string"), F.lit(" of "), F.col("n_nodes").cast("string"), F.lit(" nodes"),
+        F.when(F.col("pair") > 0, "; paths in order").otherwise(""), F.when(F.col("lexical") >= 0.5, "; words agree").otherwise(""),
+    )
+    return f.select("query", "doc", text.alias("explanation"))
 
 
 @query(f"""with {BM25_SQL}, r as (select query, doc, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from bm),
@@ -178,7 +232,8 @@ c as (select r.*, coalesce(d.n_chars, 0) as cost from r join documents d on r.do
 select * from (select query, doc, rank::int as rank, sum(cost) over (partition by query order by rank)::bigint + 100 as spent from c) where spent <= 8000""")
 def token_budget(spark: SparkSession, d: str) -> DataFrame:
     cost = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("n_chars", F.lit(0)).alias("cost"))
-    rows = R.ranked(_bm25(spark, d)).join(cost, "doc")
+    # a passage that is found costs a character at least, so no more than the budget can be in it
+    rows = R.ranked(_bm25(spark, d), 8_000).join(cost, "doc")
     return R.within_budget(rows, ["query"], [F.col("rank")], "cost", 8_000, 100).select("query", "doc", "rank", "spent")
 
 

@@ -64,10 +64,10 @@ def field_renderings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.identifier_norm(F.col("source")).alias("identifier"), T.csv_field(F.col("title")).alias("csv_title"), T.preview(F.col("text"), 40).alias("shown"))
 
 
-@query("select args_hash, min(case when regexp_matches(content, '(?s)\\{.*\\}') then json_extract_string(regexp_extract(content, '(?s)(\\{.*\\})', 1), '$.answer') end) as answer from llm_cache where content is null or content not like '{%' or content like '%}' group by args_hash")
+@query(r"""select args_hash, min(case when regexp_matches(content, '(?s)\{.*\}') then json_extract_string(regexp_extract(content, '(?s)(\{.*\})', 1), '$.answer') when regexp_matches(content, '(?s)\{\s*"answer"\s*:\s*"') then regexp_extract(content, '(?s)\{\s*"answer"\s*:\s*"((?:[^"\\]|\\.)*)', 1) end) as answer from llm_cache group by args_hash""")
 def fenced_json_answers(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "llm_cache").where("content is null or content not like '{%' or content like '%}'")
-    return rows.groupBy("args_hash").agg(F.min(T.json_answer(F.col("content"))).alias("answer"))
+    """Answers within JSON objects, those that break off among them."""
+    return table(spark, d, "llm_cache").groupBy("args_hash").agg(F.min(T.json_answer(F.col("content"))).alias("answer"))
 
 
 @query("""with t as (select doc_id, list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '') as t from documents where text is not null),
