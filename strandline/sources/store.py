@@ -43,7 +43,9 @@ class TableStore:
         return self._fs.exists(self._path(name, "current"))
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name, self._read_text(self._path(name, "current")).strip()).toString())
+        """All versions that the table's list names, in their order."""
+        versions = self._read_text(self._path(name, "current")).split()
+        return self.spark.read.parquet(*[self._path(name, v).toString() for v in versions])
 
     def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
         version = f"v-{uuid.uuid4().hex}"
@@ -55,13 +57,16 @@ class TableStore:
         """Insert rows whose key is not stored; ``compute`` runs on those only. Gives their number."""
         rows = rows.dropDuplicates([key])
         new = rows.join(self.read(name).select(key), key, "left_anti") if self.exists(name) else rows
-        new = compute(new) if compute else new
-        if not self.exists(name):
-            self.write(name, new)
-            return self.read(name).count()
-        n = new.count()
-        if n:
-            self.write(name, self.read(name).unionByName(new))
+        # written once under a version of its own: computed once, and what is stored is not written again
+        version = f"v-{uuid.uuid4().hex}"
+        made = self._path(name, version)
+        (compute(new) if compute else new).write.mode("overwrite").parquet(made.toString())
+        n = self.spark.read.parquet(made.toString()).count()
+        if n or not self.exists(name):
+            before = self._read_text(self._path(name, "current")).split() if self.exists(name) else []
+            self._write_text(self._path(name, "current"), "\n".join([*before, version]))
+        else:
+            self._fs.delete(made, True)
         return n
 
     def delete(self, name: str, keys: DataFrame, key: str) -> None:

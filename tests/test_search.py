@@ -38,7 +38,7 @@ def test_greedy_bins_equal_a_loop(spark):
 
 
 def test_searches(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "Road salt led to rusting bridges. Rusting bridges led to detours."), (2, "Poor sleep causes weight gain."), (3, "Detours causes late buses.")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "Road salt leads to rusting bridges. Rusting bridges leads to detours."), (2, "Poor sleep causes weight gain."), (3, "Detours causes late buses.")], "doc_id long, text string")
     e = Engine(spark, str(tmp_path / "e"), window=50, overlap=5)
     e.index(docs)
     q = spark.createDataFrame([(7, "What did road salt lead to?")], "query int, question string")

@@ -99,10 +99,10 @@ def test_windowed_stream_equals_batch(spark, data, tmp_path):
 
 
 def test_engine(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "Road salt led to rusting bridges. The town was told."), (2, "Poor sleep causes weight gain."), (3, ""), (4, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "Road salt leads to rusting bridges. The town was told."), (2, "Poor sleep causes weight gain."), (3, ""), (4, None)], "doc_id long, text string")
     e = Engine(spark, str(tmp_path / "e"), window=50, overlap=5)
     e.index(docs)
-    q = spark.createDataFrame([(7, "What led to rusting bridges?"), (8, "weight gain?")], "query int, question string")
+    q = spark.createDataFrame([(7, "What leads to rusting bridges?"), (8, "weight gain?")], "query int, question string")
     for mode in MODES:
         best = {r.query: r.text for r in e.query(q, mode, 1).collect()}
         assert best[7].startswith("Road salt") and best[8].startswith("Poor sleep"), mode
