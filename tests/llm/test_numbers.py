@@ -76,6 +76,29 @@ def test_neighbours_small_and_tied(spark):
     assert N.most_similar(df, 5, 2).count() == 6 and N.most_similar(df.where("id = 1"), 5, 2).count() == 0
 
 
+def test_neighbours_of_equal_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 8))
+    x[:200] = x[0]
+    x[200:203] = x[300]
+    x[400:402] = 2.0 * x[400]  # of another length, the same direction
+    order = rng.permutation(600)
+    rows = [(int(i), x[i].tolist()) for i in order]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {}
+    for r in N.most_similar(df, 5, 8).collect():
+        got.setdefault(r.id, {})[r.rank] = (r.other, r.similarity)
+    assert len(got) == 600 and all(sorted(v) == [1, 2, 3, 4, 5] for v in got.values())
+    assert [o for o, _ in (got[150][k] for k in range(1, 6))] == [0, 1, 2, 3, 4] and [got[2][k][0] for k in range(1, 6)] == [0, 1, 3, 4, 5]
+    assert {got[200][k][0] for k in (1, 2, 3)} == {201, 202, 300}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    for i in range(0, 600, 7):
+        want = np.sort(s[i])[::-1][:5]
+        assert np.allclose([got[i][k][1] for k in range(1, 6)], want, atol=1e-9), i
+
+
 def relative_error(values, got, p):
     v = np.sort(values)
     at = np.ceil(p * len(v))
