@@ -217,3 +217,21 @@ def unicode_decoded(c: Column) -> Column:
         body = F.replace(body, F.lit(char), F.lit(escape.replace("\\\\", "\\")))
     decoded = F.get_json_object(F.concat(F.lit('{"x":"'), body, F.lit('"}')), "$.x")
     return F.when(c.rlike(r"\\u[0-9A-Fa-f]{4}"), F.coalesce(decoded, c)).otherwise(c)
+
+
+def context_values(c: Column) -> Column:
+    """The ``content`` column, else the ``context`` column, of every fenced CSV block of a text: the values that are not blank.
+
+    Fields may be quoted, with quotes doubled; a field with a line break ends its row.
+    """
+    field = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+    fields = lambda line: F.transform(F.regexp_extract_all(line, F.lit(field), 1), lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+
+    def block(b: Column) -> Column:
+        lines = F.filter(F.split(b, r"\r?\n"), lambda x: F.trim(x) != "")
+        head = F.transform(fields(F.get(lines, 0)), lambda x: F.lower(F.trim(x)))
+        at = F.when(F.array_contains(head, "content"), F.array_position(head, "content")).otherwise(F.array_position(head, "context"))
+        values = F.transform(F.slice(lines, 2, 1_000_000_000), lambda x: F.get(fields(x), at.cast("int") - 1))
+        return F.when(at > 0, F.filter(values, lambda v: F.trim(v) != "")).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.regexp_extract_all(c, F.lit(r"(?s)```csv\s*\n(.*?)```"), 1), block))

@@ -253,3 +253,43 @@ def evolved_schema(spark: SparkSession, d: str) -> DataFrame:
     """A schema of types with those found beside them."""
     schema = spark.createDataFrame([("nodes", "Person"), ("nodes", "Concept")], "kind string, type string")
     return X.evolved(schema, _mentions(spark, d).select(F.lit("nodes").alias("kind"), "type"))
+
+
+@query("with s as (select id, any_value(paragraphs) as p from experiment_samples group by id) select id, len(p)::int as blocks_rows, md5(array_to_string(list_filter(list_transform(p, lambda x: replace(replace(x.paragraph_text, chr(10), ' '), chr(13), ' ')), lambda x: trim(x) <> ''), '|')) as contexts_hash from s where len(p) > 0")
+def context_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Passages rendered as a fenced CSV table, read back from it."""
+    flat = lambda x: F.regexp_replace(x["paragraph_text"], "[\\n\\r]", " ")
+    s = table(spark, d, "experiment_samples").groupBy("id").agg(F.first("paragraphs").alias("p")).where("size(p) > 0")
+    lines = F.transform("p", lambda x: F.concat_ws(",", x["idx"].cast("string"), F.concat(F.lit('"'), F.replace(flat(x), F.lit('"'), F.lit('""')), F.lit('"'))))
+    text = F.concat(F.lit("-----Sources-----\n```csv\nid,content\n"), F.array_join(lines, "\n"), F.lit("\n```\n"))
+    return s.select("id", F.size("p").alias("blocks_rows"), F.md5(F.array_join(T.context_values(text), "|")).alias("contexts_hash"))
+
+
+@query(f"""with {CACHE_SQL}, k as (select args_hash, mode, prompt, content, {_ct('prompt')} as t, row_number() over (partition by mode, lower(trim(prompt)) order by args_hash) as n from c where prompt is not null),
+f as (select mode, lower(trim(prompt)) as p, args_hash as hit from k where n = 1), e as (select k.args_hash, f.hit from k join f on f.mode = k.mode and f.p = lower(trim(k.prompt)))
+select args_hash, hit, (args_hash <> hit)::int as again from e""")
+def cache_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The cached answer that each call would have been given: the first of the same mode and prompt."""
+    c = _cache(spark, d).where("prompt is not null").select("args_hash", "mode", F.lower(F.trim("prompt")).alias("p"))
+    first = c.groupBy("mode", "p").agg(F.min("args_hash").alias("hit"))
+    return c.join(first, ["mode", "p"]).select("args_hash", "hit", (F.col("args_hash") != F.col("hit")).cast("int").alias("again"))
+
+
+@query(f"""with {CAUSAL_SQL}, d as (select node, sum(k)::bigint as degree from (select src as node, count(*) as k from e group by 1 union all select dst, count(*) from e group by 1) group by 1),
+n as (select count(*) as nodes from d), m as (select count(*) as edges, sum(weight) as total from e)
+select 'nodes' as what, nodes::double as value from n union all select 'edges', edges::double from m union all select 'density', round(edges / (nodes * (nodes - 1.0)), 9) from n, m union all select 'weight', total from m
+union all select 'degree_max', max(degree)::double from d union all select 'degree_mean', round(avg(degree), 9) from d union all select 'pairs_both_ways', count(*)::double from e a join e b on a.src = b.dst and a.dst = b.src
+union all select 'top: ' || node, degree::double from (select *, row_number() over (order by degree desc, node) as r from d) where r <= 10""")
+def graph_report(spark: SparkSession, d: str) -> DataFrame:
+    """Size, density, degrees, two-node cycles and the ten nodes of the highest degree."""
+    e = _causal(spark, d)
+    deg = G.degrees(e).select("node", (F.col("indegree") + F.col("outdegree")).alias("degree"))
+    n = deg.agg(F.count("*").alias("nodes"), F.max("degree").cast("double").alias("most"), F.round(F.avg("degree"), 9).alias("mean"))
+    m = e.agg(F.count("*").alias("edges"), F.sum("weight").alias("total"))
+    both = e.select("src", "dst").intersect(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).agg(F.count("*").cast("double").alias("both"))
+    one = n.crossJoin(m).crossJoin(both)  # three tables of one row
+    row = lambda what, value: F.struct(F.lit(what).alias("what"), value.cast("double").alias("value"))
+    density = F.round(F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1.0)), 9)
+    facts = F.array(row("nodes", F.col("nodes")), row("edges", F.col("edges")), row("density", density), row("weight", F.col("total")), row("degree_max", F.col("most")), row("degree_mean", F.col("mean")), row("pairs_both_ways", F.col("both")))
+    top = G.popular(e, 10).select(F.concat(F.lit("top: "), "node").alias("what"), F.col("degree").cast("double").alias("value"))
+    return one.select(F.explode(facts).alias("x")).select("x.what", "x.value").unionByName(top)

@@ -114,7 +114,7 @@ def overlap_scores(spark: SparkSession, d: str) -> DataFrame:
 def subsequence_scores(spark: SparkSession, d: str) -> DataFrame:
     """ROUGE-L and chrF; dynamic programming, checked against loops in the tests."""
     rows = _samples(spark, d).where("size(paragraphs) > 0").select("id", F.lower("question").alias("q"), F.lower(F.col("paragraphs")[0]["paragraph_text"]).alias("c"))
-    return rows.select("id", F.round(E.rouge_l(T.words(F.col("q")), T.words(F.col("c"))), 6).alias("rouge_l"), F.round(E.chrf(F.col("q"), F.col("c"), 3), 6).alias("chrf"))
+    return rows.select("id", F.round(E.rouge_l(T.words(F.col("q")), T.words(F.col("c"))), 6).alias("rouge_l"), F.round(E.chrf(F.col("q"), F.col("c")), 6).alias("chrf"))
 
 
 NUM = "list_distinct(regexp_extract_all({x}, '\\d+(?:\\.\\d+)?'))"

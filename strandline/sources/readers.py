@@ -15,6 +15,13 @@ from pyspark.sql import types as T
 # --- fixed values: names under which a column may be found ---------------------------
 ENTITY_ALIASES = {"id": ("id", "entity_id"), "name": ("name", "title", "entity_name"), "type": ("type", "entity_type"), "description": ("description", "summary"), "source_id": ("source_id", "text_unit_id", "chunk_id")}
 EDGE_ALIASES = {"src": ("source", "src", "src_id"), "dst": ("target", "dst", "tgt_id"), "weight": ("weight", "strength"), "description": ("description", "summary")}
+TEXT_UNIT_ALIASES = {"id": ("id", "chunk_id", "text_unit_id"), "text": ("text", "content", "chunk"), "doc_id": ("doc_id", "document_id", "source_id"), "n_tokens": ("n_tokens", "tokens", "token_count")}
+COMMUNITY_ALIASES = {"id": ("id", "community_id", "community"), "level": ("level",), "title": ("title", "name"), "parent": ("parent", "parent_id")}
+REPORT_ALIASES = {"id": ("id", "community_id", "community"), "title": ("title",), "summary": ("summary", "full_content", "content"), "rank": ("rank", "rating")}
+CLAIM_ALIASES = {"id": ("id", "claim_id"), "subject": ("subject", "subject_id"), "object": ("object", "object_id"), "type": ("type", "claim_type"), "status": ("status", "claim_status"), "description": ("description",), "source_id": ("source_id", "text_unit_id")}
+COVARIATE_ALIASES = {"id": ("id", "covariate_id"), "subject": ("subject", "subject_id"), "type": ("covariate_type", "type"), "attributes": ("attributes", "description")}
+VECTOR_ALIASES = {"id": ("id", "chunk_id", "entity_id"), "vector": ("vector", "embedding", "values")}
+EXAMPLE_ALIASES = {"question": ("question", "query", "user_input"), "reference": ("ground_truth", "groundTruth", "answer", "reference")}
 INDEX_MARKERS = ("entities.parquet", "relationships.parquet", "text_units.parquet", "communities.parquet")
 SAMPLE_SCHEMA = (
     "id string, paragraphs array<struct<idx:int,title:string,paragraph_text:string,is_supporting:boolean>>, question string, answer string, "
@@ -39,6 +46,35 @@ def relationships(spark: SparkSession, path: str) -> DataFrame:
     return with_aliases(spark.read.parquet(path), EDGE_ALIASES)
 
 
+def text_units(spark: SparkSession, path: str) -> DataFrame:
+    return with_aliases(spark.read.parquet(path), TEXT_UNIT_ALIASES)
+
+
+def communities(spark: SparkSession, path: str) -> DataFrame:
+    return with_aliases(spark.read.parquet(path), COMMUNITY_ALIASES)
+
+
+def community_reports(spark: SparkSession, path: str) -> DataFrame:
+    return with_aliases(spark.read.parquet(path), REPORT_ALIASES)
+
+
+def claims(spark: SparkSession, path: str) -> DataFrame:
+    return with_aliases(spark.read.parquet(path), CLAIM_ALIASES)
+
+
+def covariates(spark: SparkSession, path: str) -> DataFrame:
+    return with_aliases(spark.read.parquet(path), COVARIATE_ALIASES)
+
+
+def stored_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return with_aliases(spark.read.parquet(path), VECTOR_ALIASES)
+
+
+def evaluation_examples(spark: SparkSession, path: str) -> DataFrame:
+    """(question, reference) of a JSON list of examples; those without a question are left out."""
+    return with_aliases(spark.read.json(path, multiLine=True), EXAMPLE_ALIASES).where("trim(question) <> ''")
+
+
 def index_directories(spark: SparkSession, root: str, depth: int = 2) -> list[str]:
     """Directories below ``root`` that hold one of the marker files."""
     hadoop = spark._jvm.org.apache.hadoop.fs

@@ -80,3 +80,19 @@ def test_append_keeps_what_is_stored(spark, tmp_path):
     assert store.append_new("t", row("b", "ccc"), "k", compute) == 1
     assert store.append_new("t", row("a"), "k", compute) == 0
     assert sorted(tuple(r) for r in store.read("t").collect()) == [("a", 1), ("b", 1), ("ccc", 3)]
+
+
+def test_index_readers_and_context_blocks(spark, tmp_path):
+    from strandline.functions import text as T
+    from strandline.sources import readers
+
+    spark.createDataFrame([("c1", "a causes b", "d1")], "chunk_id string, content string, document_id string").write.parquet(str(tmp_path / "u"))
+    assert [tuple(r) for r in readers.text_units(spark, str(tmp_path / "u")).collect()] == [("c1", "a causes b", "d1", None)]
+    spark.createDataFrame([("k", "x", "y", "open")], "id string, subject_id string, object_id string, claim_status string").write.parquet(str(tmp_path / "k"))
+    got = readers.claims(spark, str(tmp_path / "k")).first()
+    assert (got.subject, got.object, got.status, got.type) == ("x", "y", "open", None)
+    (tmp_path / "e.json").write_text('[{"question": "Why?", "ground_truth": "salt"}, {"question": " "}]')
+    assert [tuple(r) for r in readers.evaluation_examples(spark, str(tmp_path / "e.json")).collect()] == [("Why?", "salt")]
+    texts = ['x\n```csv\nid,context\n1,"a ""b"", c"\n2, \n```\n```csv\nid,content,context\n3,d,e\n```', "no block", "```csv\nid,name\n1,z\n```", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.context_values(F.col("t")).alias("v"))
+    assert {r.i: r.v for r in rows.collect()} == {0: ['a "b", c', "d"], 1: [], 2: [], 3: None}
