@@ -106,45 +106,41 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2_000) -> D
 def search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", threshold: float | None = None) -> DataFrame:
     """(query, doc, score): exact search of a stated query set (id, v) in a corpus (id, v).
 
-    Query vectors are taken in blocks of bounded size; every partition of the
-    corpus keeps its own k best of each, and only those are shuffled.  Vectors
-    that are null, of another length or (for cosine) of no length are not found.
+    The corpus is read once; within a batch of it query vectors are taken in
+    blocks of bounded size.  Every partition of the corpus keeps its own k best
+    of each, and only those are shuffled.  Vectors that are null, of another
+    length or (for cosine) of no length are not found.
     """
     spark = queries.sparkSession
     rows = [(r.id, r.v) for r in queries.where("v is not null").select("id", "v").toLocalIterator()]
     kind = corpus.schema["id"].dataType.simpleString()
     qkind = queries.schema["id"].dataType.simpleString()
-    result = None
-    for lo in range(0, max(1, len(rows)), QUERY_BLOCK):
-        block = spark.sparkContext.broadcast(rows[lo : lo + QUERY_BLOCK])
-
-        def scan(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            q = np.array([v for _, v in block.value], dtype=np.float64)
-            names = np.array([i for i, _ in block.value])
-            cols = ["query", "doc", "score"]
-            for pdf in batches:
-                good = [i for i, v in enumerate(pdf["v"]) if v is not None and q.ndim == 2 and len(v) == q.shape[1]]
-                if not good:
+    blocks = [spark.sparkContext.broadcast(rows[lo : lo + QUERY_BLOCK]) for lo in range(0, max(1, len(rows)), QUERY_BLOCK)]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = [(np.array([i for i, _ in b.value]), np.array([v for _, v in b.value], dtype=np.float64)) for b in blocks]
+        for pdf in batches:
+            lengths = pdf["v"].map(lambda v: -1 if v is None else len(v)).to_numpy()
+            for names, q in asked:
+                good = np.nonzero(lengths == q.shape[1])[0] if q.ndim == 2 else []
+                if not len(good):
                     continue
                 e = np.array([pdf["v"].iat[i] for i in good], dtype=np.float64)
                 ids = pdf["id"].to_numpy()[good]
+                s = q @ e.T
                 if metric == "cosine":
-                    nq, ne = np.linalg.norm(q, axis=1), np.linalg.norm(e, axis=1)
-                    s = np.divide(q @ e.T, nq[:, None] * ne[None], out=np.full((len(q), len(e)), -np.inf), where=(nq[:, None] * ne[None]) > 0)
-                elif metric == "dot":
-                    s = q @ e.T
-                else:
-                    s = -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] - 2 * q @ e.T + (e * e).sum(1)[None]))
+                    scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(e, axis=1)[None]
+                    s = np.divide(s, scale, out=np.full(s.shape, -np.inf), where=scale > 0)
+                elif metric == "euclidean":
+                    s = -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] - 2 * s + (e * e).sum(1)[None]))
                 if threshold is not None:
-                    s = np.where(s >= threshold, s, -np.inf)
+                    s[s < threshold] = -np.inf
                 top = min(k, s.shape[1])
                 bound = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
                 r, c = np.nonzero((s >= bound[:, None] - 1e-9) & np.isfinite(s))
-                yield pd.DataFrame({"query": names[r], "doc": ids[c], "score": s[r, c]}, columns=cols)
+                yield pd.DataFrame({"query": names[r], "doc": ids[c], "score": s[r, c]})
 
-        part = corpus.select("id", "v").mapInPandas(scan, f"query {qkind}, doc {kind}, score double")
-        result = part if result is None else result.unionByName(part)
-    return ranked(result, k)
+    return ranked(corpus.select("id", "v").mapInPandas(scan, f"query {qkind}, doc {kind}, score double"), k)
 
 
 def fused(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
