@@ -13,10 +13,22 @@ from pyspark.sql.types import IntegerType
 from .text import content_tokens, coverage, jaccard, words
 
 
+def _tagged(a: Column, b: Column) -> Column:
+    """The tokens of both arrays in order, 0 for the first and 1 for the second, so that equal ones stand together."""
+    tag = lambda x, k: F.transform(x, lambda t: F.struct(t.alias("t"), F.lit(k).alias("k")))
+    return F.array_sort(F.concat(tag(a, 0), tag(b, 1)))
+
+
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    counts = lambda x, t: F.size(F.filter(x, lambda y: y == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(counts(a, t), counts(b, t)))
+    """Size of the multiset intersection of two token arrays; one pass over them in order, so long texts take no square."""
+
+    def step(s: Column, e: Column) -> Column:
+        left = F.when(s["t"].eqNullSafe(e["t"]), s["left"]).otherwise(0)
+        taken = (e["k"] == 1) & (left > 0)
+        return F.struct(e["t"].alias("t"), F.when(e["k"] == 0, left + 1).when(taken, left - 1).otherwise(left).alias("left"), (s["n"] + taken.cast("int")).alias("n"))
+
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("left"), F.lit(0).alias("n"))
+    return F.aggregate(_tagged(a, b), start, step, lambda s: s["n"])
 
 
 def token_scores(rows: DataFrame, prediction: Column, gold: Column) -> DataFrame:
@@ -165,11 +177,23 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
 
 
 def lexical_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two token arrays' counts."""
-    count = lambda x, t: F.size(F.filter(x, lambda y: y == t))
-    product = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, t: s + count(a, t) * count(b, t))
-    length = lambda x: F.sqrt(F.aggregate(F.array_distinct(x), F.lit(0), lambda s, t: s + count(x, t) * count(x, t)).cast("double"))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), product / (length(a) * length(b))).otherwise(0.0)
+    """Cosine of two token arrays' counts, in one pass over them in order."""
+
+    def closed(s: Column) -> list[Column]:
+        x, y = s["x"], s["y"]
+        return [(s["xy"] + x * y).alias("xy"), (s["xx"] + x * x).alias("xx"), (s["yy"] + y * y).alias("yy")]
+
+    def step(s: Column, e: Column) -> Column:
+        same = s["t"].eqNullSafe(e["t"])
+        x = F.when(same, s["x"]).otherwise(0) + (e["k"] == 0).cast("bigint")
+        y = F.when(same, s["y"]).otherwise(0) + (e["k"] == 1).cast("bigint")
+        done = [F.when(same, s[n]).otherwise(c).alias(n) for n, c in zip(("xy", "xx", "yy"), closed(s), strict=True)]
+        return F.struct(e["t"].alias("t"), x.alias("x"), y.alias("y"), *done)
+
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(F.lit(None).cast("string").alias("t"), *[zero.alias(n) for n in ("x", "y", "xy", "xx", "yy")])
+    value = lambda s: (lambda c: c[0] / F.sqrt(c[1].cast("double")) / F.sqrt(c[2].cast("double")))(closed(s))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.aggregate(_tagged(a, b), start, step, value)).otherwise(0.0)
 
 
 def answer_accuracy(question: Column, prediction: Column, reference: Column) -> Column:
