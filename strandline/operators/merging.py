@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 SEPARATOR = "<SEP>"
 
 
@@ -62,3 +64,17 @@ def renamed(edge_rows: DataFrame, mapping: DataFrame) -> DataFrame:
     b = mapping.select(F.col("old").alias("dst"), F.col("new").alias("_d"))
     out = edge_rows.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("_s", "src").alias("src"), F.coalesce("_d", "dst").alias("dst"), "weight")
     return edges(out.where("src <> dst"))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Adds the place of every row in an order over the whole table, from 1, without one task for all of it.
+
+    The table is sorted by ranges; rows are numbered within their range, and
+    the sizes of the ranges (one row each) are added up before them.
+    """
+    ranges = checkpointed(rows.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = ranges.withColumn("_within", within).join(F.broadcast(sizes.select("_range", "_before")), "_range")
+    return placed.withColumn(name, (F.col("_within") + F.col("_before")).cast("int")).drop("_range", "_within", "_before")

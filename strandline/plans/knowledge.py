@@ -41,8 +41,8 @@ def community_table(spark: SparkSession, d: str) -> DataFrame:
     c = G.checkpointed(G.label_propagation(e, 4))
     size = c.groupBy("community").agg(F.count("*").alias("members"))
     inner = e.join(c.toDF("src", "community"), "src").join(c.toDF("dst", "other"), "dst").where("community = other").groupBy("community").agg(F.count("*").alias("inner_edges"))
-    place = F.row_number().over(Window.orderBy(F.desc("members"), "community"))  # one row per community
-    return size.join(inner, "community", "left").select("community", "members", F.coalesce("inner_edges", F.lit(0)).alias("inner_edges"), place.alias("place"))
+    rows = size.join(inner, "community", "left").select("community", "members", F.coalesce("inner_edges", F.lit(0)).alias("inner_edges"))
+    return M.numbered(rows, [F.desc("members"), F.col("community")])
 
 
 @query(f"{COMMUNITY_SQL}, dg as (select node, count(*) as k from (select src as node from e union all select dst from e) group by 1) select community, node, place from (select community, c.node, row_number() over (partition by community order by k desc, c.node)::int as place from c join dg using (node)) where place <= 5")

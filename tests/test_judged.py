@@ -96,3 +96,12 @@ def test_index_readers_and_context_blocks(spark, tmp_path):
     texts = ['x\n```csv\nid,context\n1,"a ""b"", c"\n2, \n```\n```csv\nid,content,context\n3,d,e\n```', "no block", "```csv\nid,name\n1,z\n```", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.context_values(F.col("t")).alias("v"))
     assert {r.i: r.v for r in rows.collect()} == {0: ['a "b", c', "d"], 1: [], 2: [], 3: None}
+
+
+def test_numbered_over_ranges(spark):
+    from strandline.operators.merging import numbered
+
+    rows = spark.range(0, 500, numPartitions=7).select((F.col("id") * 37 % 101).alias("a"), "id")
+    got = numbered(rows, [F.desc("a"), F.col("id")]).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 501)) and [(-r.a, r.id) for r in got] == sorted((-r.a, r.id) for r in got)
+    assert numbered(rows.where("false"), [F.col("id")]).count() == 0
