@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as E
-from .text import content_tokens, coverage, is_unknown, jaccard
+from .text import ascii_edges, content_tokens, coverage, is_unknown, jaccard
 
 # --- fixed values ----------------------------------------------------------------
 NEGATIONS = r"\b(no|not|never|none|without|cannot|can't|won't|isn't|aren't|didn't|doesn't|don't)\b"
@@ -33,7 +33,7 @@ def parts(c: Column, pattern: str) -> Column:
 
 
 def numbers(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(NUMBERS), 0))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(ascii_edges(NUMBERS)), 0))
 
 
 def _facts(statements: Column) -> Column:
@@ -65,7 +65,7 @@ def answer_correctness(rows: DataFrame, response: Column, reference: Column, wei
     p, r = _share(F.col("_tp"), F.size("_a")), _share(F.col("_tp"), F.col("_tp") + F.col("_fn"))
     n_a, n_r = numbers(response), numbers(reference)
     clash = (F.size(n_a) > 0) & (F.size(n_r) > 0) & ~F.arrays_overlap(n_a, n_r)
-    denies = F.lower(response).rlike(NEGATIONS) != F.lower(reference).rlike(NEGATIONS)
+    denies = F.lower(response).rlike(ascii_edges(NEGATIONS)) != F.lower(reference).rlike(ascii_edges(NEGATIONS))
     penalty = F.when(clash, 0.45).otherwise(1.0) * F.when(denies, 0.8).otherwise(1.0)
     t_a, t_r = content_tokens(response), content_tokens(reference)
     like = F.when((F.size(t_a) > 0) & (F.size(t_r) > 0), 0.7 * jaccard(t_a, t_r) + 0.3 * coverage(t_r, t_a)).otherwise(0.0)
@@ -99,9 +99,10 @@ def penalised_groundedness(response: Column, contexts: Column) -> Column:
     """groundedness(), less for capitalised words and figures of the response that the contexts lack."""
     text = F.array_join(contexts, " ")
     have = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0))
-    names = F.array_distinct(F.transform(F.regexp_extract_all(response, F.lit(r"\b[A-Z][A-Za-z0-9]*\b"), 0), lambda x: F.lower(x)))
+    names = F.array_distinct(F.transform(F.regexp_extract_all(response, F.lit(ascii_edges(r"\b[A-Z][A-Za-z0-9]*\b")), 0), lambda x: F.lower(x)))
     names = F.filter(F.array_except(F.array_intersect(names, content_tokens(response)), have), lambda x: F.length(x) > 2)
-    figures = F.array_except(F.regexp_extract_all(response, F.lit(r"\b\d+[A-Za-z]*\b"), 0), F.regexp_extract_all(text, F.lit(r"\b\d+[A-Za-z]*\b"), 0))
+    figure = F.lit(ascii_edges(r"\b\d+[A-Za-z]*\b"))
+    figures = F.array_except(F.regexp_extract_all(response, figure, 0), F.regexp_extract_all(text, figure, 0))
     lost = (1.0 - 0.45 * F.least(F.size(names), F.lit(2))) * (1.0 - 0.2 * F.least(F.size(figures), F.lit(2)))
     whole = (F.trim(response) != "") & F.contains(F.lower(text), F.lower(F.trim(response)))
     return F.when(whole, 1.0).otherwise(E.groundedness(response, contexts) * lost)
@@ -109,7 +110,7 @@ def penalised_groundedness(response: Column, contexts: Column) -> Column:
 
 def failed(c: Column) -> Column:
     low = F.lower(c)
-    return low.rlike(REFUSALS) | low.rlike(FAILURES)
+    return low.rlike(ascii_edges(REFUSALS)) | low.rlike(ascii_edges(FAILURES))
 
 
 def goal_reached(desired: Column, arrived: Column) -> Column:
@@ -144,10 +145,10 @@ def sql_likeness(left: Column, right: Column) -> Column:
     """1 less for every part in which two SQL texts differ; whether 0.75 is reached decides on equivalence."""
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     a, b = norm(left), norm(right)
-    columns = lambda c, p: F.array_sort(F.array_distinct(parts(F.regexp_replace(F.regexp_extract(c, p, 1), r"\s+as\s+\w+", ""), ",")))
-    part = lambda c, p: F.trim(F.regexp_extract(c, p, 1))
+    columns = lambda c, p: F.array_sort(F.array_distinct(parts(F.regexp_replace(F.regexp_extract(c, ascii_edges(p), 1), r"\s+as\s+\w+", ""), ",")))
+    part = lambda c, p: F.trim(F.regexp_extract(c, ascii_edges(p), 1))
     words = lambda c: F.array_distinct(F.regexp_extract_all(part(c, SQL_WHERE), F.lit("[a-z0-9_]+"), 0))
-    calls = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(SQL_AGGREGATE), 1)))
+    calls = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(ascii_edges(SQL_AGGREGATE)), 1)))
     wa, wb = words(a), words(b)
     like = F.when((F.size(wa) == 0) & (F.size(wb) == 0), 1.0).otherwise(jaccard(wa, wb))
     off = lambda c, x: F.when(c, x).otherwise(0.0)

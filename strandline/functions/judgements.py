@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .metrics import overlap
-from .text import content_tokens, coverage, jaccard, words
+from .text import ascii_edges, content_tokens, coverage, jaccard, words
 
 
 def fact_entities(c: Column) -> Column:
     """Years, figures with thousands, and capitalised phrases of a text, in lower case."""
-    found = F.flatten(F.array(F.regexp_extract_all(c, F.lit(r"\b([0-9]{4})\b"), 1), F.regexp_extract_all(c, F.lit("([0-9]{1,3}(?:,[0-9]{3})+)"), 1), F.regexp_extract_all(c, F.lit("([A-Z][a-z]+(?: [A-Z][a-z]+)*)"), 1)))
+    found = F.flatten(F.array(F.regexp_extract_all(c, F.lit(ascii_edges(r"\b([0-9]{4})\b")), 1), F.regexp_extract_all(c, F.lit("([0-9]{1,3}(?:,[0-9]{3})+)"), 1), F.regexp_extract_all(c, F.lit("([A-Z][a-z]+(?: [A-Z][a-z]+)*)"), 1)))
     return F.array_distinct(F.transform(found, lambda x: F.lower(x)))
 
 

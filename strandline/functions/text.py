@@ -26,6 +26,12 @@ UNKNOWN_PATTERNS = (
 TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "1", "t"), ("false", "no", "n", "0", "f")
 # -----------------------------------------------------------------------------------
 UNKNOWN_PATTERN = "|".join(UNKNOWN_PATTERNS)
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def ascii_edges(pattern: str) -> str:
+    """The pattern with ``\\b`` between an ASCII word character and any other, whatever the JVM: Java 17 takes all letters for word characters."""
+    return pattern.replace(r"\b", EDGE)
 
 
 def words(c: Column) -> Column:
@@ -145,7 +151,7 @@ def json_answer(c: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    bare = F.regexp_replace(c, r"(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>", " ")
+    bare = F.regexp_replace(c, ascii_edges(r"(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>"), " ")
     bare = F.regexp_replace(bare, r"<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(char))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import judged as J
+from strandline.functions.judgements import fact_entities
 from strandline.operators import chunking, experiments, extraction, graph
 from strandline.sources.store import TableStore
 from strandline.streaming import ingest
@@ -20,6 +21,15 @@ def test_evaluate_checks_columns_and_leaves_nulls(spark):
         J.evaluate(rows, ("nothing",))
 
 
+def test_words_end_at_letters_of_other_scripts(spark):
+    """As in SQL: a name or figure beside a letter that is not ASCII stands alone."""
+    rows = [("原因は霜であり、Penefolt付近で67.68を見た", ["Penefolt and mills"]), ("Mumibu Nierenschäden", ["Mumibu late"]), ("x é12é", ["x"])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, p string, c array<string>")
+    got = {r.i: (r.g, r.n, r.e) for r in df.select("i", F.round(J.penalised_groundedness(F.col("p"), F.col("c")), 6).alias("g"), J.numbers(F.col("p")).alias("n"), fact_entities(F.col("p")).alias("e")).collect()}
+    assert got == {0: (0.6, ["67.68"], ["penefolt"]), 1: (0.183333, [], ["mumibu nierensch"]), 2: (0.0, ["12"], [])}
+    assert [r.f for r in spark.createDataFrame([("é sorry",), ("ésorryé",), ("sorry_",)], "c string").select(J.failed(F.col("c")).alias("f")).collect()] == [True, True, False]
+
+
 def test_exact_percentiles(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.pareto(1.2, 500), -rng.pareto(1.2, 300), np.zeros(400), np.full(600, 7.5)])
