@@ -70,6 +70,18 @@ def test_neighbours_reach_brute_force(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got) == len(want)
 
 
+def test_neighbours_leave_the_cells_on_the_executors(spark, monkeypatch):
+    """Neither the cells nor which blocks want them become rows of the driver, or a broadcast where they are many."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 8)))], "id long, v array<double>")
+    monkeypatch.setattr(N, "SLICE_Q", 100)
+    want = {tuple(r) for r in N.most_similar(df, 5, 8, 50).collect()}
+    monkeypatch.setattr(N, "BROADCAST_ROWS", 0, raising=False)
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    found = N.most_similar(df, 5, 8, 50)
+    assert {tuple(r) for r in found.collect()} == want and len(want) == 4500
+
+
 def test_neighbours_small_and_tied(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [3.0, 0.0])], "id long, v array<double>")
     assert sorted((r.id, r.other, r["rank"]) for r in N.most_similar(df, 1, 2).collect()) == [(1, 2, 1), (2, 1, 1), (3, 1, 1)]
