@@ -62,6 +62,24 @@ def test_answers_that_only_look_defective(spark):
     assert v(None, None) & 0b111 == 0b111 and v(q, None) & 0b111 == 0b111
 
 
+def test_runs_are_counted_over_all_answers(spark, monkeypatch):
+    """Every piece of every answer counts, as in one loop, however often a worker passes its counts on."""
+    monkeypatch.setattr(P, "HELD", 50)
+    rows, _, _ = corpus(n=400)
+    texts = [(a, 1) for a in sorted({r[3] for r in rows if r[3]})] + [("Road salt", 7), ("\n".join(f"{w} of the Bridge and the mill. The {w}s" for w in ("salt", "frost", "sleep") * 30), 1)]
+    df = spark.createDataFrame(texts, "content string, n long").repartition(3)
+    ending = P.fit_ending(df)
+    assert {"the", "die", "road"} <= ending.known
+    ends, goes = P.Counter(), P.Counter()
+    for c, n in texts:
+        for piece in P.pieces(c, n):
+            ending.counted(*piece, ends, goes)
+    got = {r.run: (r.ends, r.goes) for r in P.run_counts(df, ending).collect()}
+    assert {k: v for k, v in got.items() if "*" not in k} == {k: (ends[k], goes[k]) for k in {*ends, *goes} if ends[k] + goes[k] > 1}
+    assert ends["road salt"] >= 7 and max(x + y for x, y in got.values()) > 60
+    assert got["that road s*"] == (0, sum(ends[k] + goes[k] for k in {*ends, *goes} if k.startswith("that road s") and k.count(" ") == 2 and len(k) > len("that road s")))
+
+
 def test_long_refusal():
     v = P.Voter(P.Language([]))
     refusal = "I'm sorry, but I cannot help with that. "
