@@ -26,6 +26,8 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,7 @@ SAMPLES = (12, 8, 6, 6, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5)  # sampled positions
 STEPS = 2 * WINDOW  # of the walk
 BLOCK_CHARS = 4_000_000  # of items held in one broadcast index
 PAIRS_LOST = 8  # of an item's neighbouring letters, see _same_letters()
+PAIR_BITS = 2_048
 NEAR = 1 << 30  # added to the number of a word that is a slip away
 
 # --- fixed values: letters of other scripts that look like Latin ones --------
@@ -106,20 +109,43 @@ def _neighbours(words: list[str]) -> Counter:
     return Counter(map("".join, zip(text, text[1:], strict=False)))
 
 
-def _same_letters(item: Counter, around: list[str]) -> bool:
+def _letters(words: list[str]) -> tuple[int, Counter]:
+    """The pairs of neighbouring letters, and a bit for each (pairs may share one)."""
+    pairs, bits = _neighbours(words), 0
+    for x, y in pairs:
+        bits |= 1 << (ord(x) * 31 + ord(y)) % PAIR_BITS
+    return bits, pairs
+
+
+def _same_letters(item: tuple[int, Counter], around: tuple[int, Counter]) -> bool:
     """A bound on the comparison of letters in held().
 
     There at most 2 letters of the item are outside the matching blocks and at
     most 4 letters lie between them, which makes 7 blocks at most; so all but
     2 letters and 7 block ends keep their neighbour: 8 pairs are lost at most.
     """
-    return (item - _neighbours(around)).total() <= PAIRS_LOST
+    return (item[0] & ~around[0]).bit_count() <= PAIRS_LOST and (item[1] - around[1]).total() <= PAIRS_LOST
+
 
+class _Around(list):
+    """The words around a hit, with what several items ask of them made once."""
 
-def _any_close(word: str, others: set[str]) -> bool:
-    """Is a slip of the word among the others?  A slip keeps the first letter or the last."""
-    first, last, n = word[0], word[-1], len(word)
-    return any((x[0] == first or x[-1] == last) and -3 < len(x) - n < 3 and _close(word, x) for x in others)
+    @cached_property
+    def letters(self) -> tuple[int, Counter]:
+        return _letters(self)
+
+    @cached_property
+    def by_end(self) -> dict[tuple[bool, str], list[str]]:
+        ends: dict[tuple[bool, str], list[str]] = {}
+        for w in set(self):
+            ends.setdefault((False, w[:1]), []).append(w)
+            ends.setdefault((True, w[-1:]), []).append(w)
+        return ends
+
+    def any_close(self, word: str) -> bool:
+        """Is a slip of the word here?  A slip keeps the first letter or the last."""
+        n = len(word)
+        return any(-3 < len(x) - n < 3 and _close(word, x) for end in ((False, word[:1]), (True, word[-1:])) for x in self.by_end.get(end, ()))
 
 
 def held(item: list[str], around: list[str], whole_only: bool, rare: set[str] = frozenset()) -> bool:
@@ -155,7 +181,7 @@ def held(item: list[str], around: list[str], whole_only: bool, rare: set[str] =
     if n - ok.sum() + extra[1:n].sum() + 0.2 * slips <= 1.8:
         return True
     a, b = "".join(item), "".join(around)
-    if abs(len(a) - len(b)) < 0.8 * len(a) + 60 and _same_letters(_neighbours(item), around):  # layout within words: compare without word limits
+    if abs(len(a) - len(b)) < 0.8 * len(a) + 60 and _same_letters(_letters(item), _letters(around)):  # layout within words: compare without word limits
         sm = SequenceMatcher(None, a, b, autojunk=False)
         blocks = sm.get_matching_blocks()
         same = sum(x.size for x in blocks if x.size > 1)
@@ -201,6 +227,12 @@ def _walk(x: np.ndarray, rep: int) -> np.ndarray:
     return key
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers in order (np.unique hashes them, which takes several times as long)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class Index:
     """Windows of a block of item sentences under the keys of every repetition."""
 
@@ -220,7 +252,7 @@ class Index:
         # words of at most two sentences, or one sentence in a thousand
         self.rare = np.append(df <= max(2, len(ids) // 1000), False)
         self.rare_words = {w for w, k in self.vocab.items() if self.rare[k]}
-        self.ids = [np.array(x, dtype=np.int64) for x in ids]
+        self.ids = ids
         # how many peculiar words must be there: what the poorest window keeps under a single change
         self.needs = []
         for x in ids:
@@ -246,32 +278,36 @@ class Index:
         One demand is no bound: unless the letters are there, ``needs`` asks for
         words peculiar to the item as written, so slips in all of those are refused.
         """
-        _, whole_only, words = self.sentences[s]
+        if not isinstance(around, _Around):
+            around = _Around(around)
         peculiar, least = self.needs[s]
-        absent = [i for i, w in enumerate(self.ids[s].tolist()) if w not in region]
-        if len(peculiar & region) >= least:
-            if len(absent) <= 5:  # one missing and four slips
-                return True
-            near = set(around)
-            gaps = [i for i in absent if not _any_close(words[i], near)]
-            if not gaps and len(absent) <= 9:
-                return True
-            if not whole_only:
-                gaps = [-1, *gaps, len(words)]
-                if any(gaps[min(i + 2, len(gaps) - 1)] - gaps[i] - 1 >= WINDOW for i in range(len(gaps) - 1)):
-                    return True
-        # pairs of letters that stand nowhere here are lost in any comparison
-        joined, lost = "".join(around), 0
-        for i in absent:
-            w = words[i]
-            if w not in joined:
-                lost += sum(w[k : k + 2] not in joined for k in range(len(w) - 1))
-                if lost > PAIRS_LOST:
-                    return False
+        if len(peculiar & region) >= least and self._words_could_hold(s, region, around):
+            return True
         letters = self.letters.get(s)
         if letters is None:
-            letters = self.letters[s] = _neighbours(words)
-        return _same_letters(letters, around)
+            letters = self.letters[s] = _letters(self.sentences[s][2])
+        return _same_letters(letters, around.letters)
+
+    def _words_could_hold(self, s: int, region: set[int], around: _Around) -> bool:
+        _, whole_only, words = self.sentences[s]
+        absent = [i for i, w in enumerate(self.ids[s]) if w not in region]
+        if len(absent) <= 1:
+            return True
+        if whole_only and len(absent) > 9:
+            return False
+        gaps = [i for i in absent if not around.any_close(words[i])]
+        if not gaps and len(absent) <= 9 or len(gaps) == 1 and len(absent) <= 5:  # a word costs 1, a slip 0.2
+            return True
+        if whole_only:
+            return False
+        ends = [-1, *gaps, len(words)]
+        if any(e - b > WINDOW for b, e in pairwise(ends)):
+            return True
+        # a stretch with a changed word needs two peculiar words
+        for b, gap, e in zip(ends, ends[1:], ends[2:], strict=False):
+            if e - b > WINDOW and sum(i != gap and words[i] in self.rare_words for i in range(b + 1, e)) >= 2:
+                return True
+        return False
 
     def search(self, texts: list[str], memo: dict) -> Iterator[tuple[int, int]]:
         """(number of the text, item) of every leak."""
@@ -299,10 +335,13 @@ class Index:
                 v = self.skeletons[w] = skeleton(w)
             return v
 
+        # a candidate is a number made of the text, the place of the item's first word in it (lead and more before its own) and the sentence
+        n_sent, lead = len(self.sentences), max(map(len, self.ids), default=0)
+        reach = lead + len(ids)
         for width, (win, where, reps) in self.sizes.items():
             lost = LOST if width > 8 else 1
             pos = np.nonzero(known[width:] - known[: len(known) - width] >= width - lost)[0]
-            tried: set[tuple[int, int, int]] = set()
+            tried = np.zeros(0, dtype=np.int64)
             for r, (keys, order) in enumerate(reps):
                 if not len(pos):
                     break
@@ -312,7 +351,7 @@ class Index:
                 some = np.nonzero(hi > lo)[0]
                 if not len(some):
                     continue
-                settled = []
+                made = []
                 for part in np.array_split(some, max(1, int((hi - lo)[some].sum() // 500_000))):
                     n = (hi - lo)[part]
                     row = np.repeat(part, n)
@@ -327,26 +366,31 @@ class Index:
                     near &= (peculiar.sum(axis=1) < 2) | (peculiar & same).any(axis=1)
                     row, hit = row[near], hit[near]
                     doc = np.searchsorted(first, pos[row], "right") - 1
-                    sent, diag = where[hit, 0], pos[row] - where[hit, 1]
-                    for d, s, g in {*zip(doc.tolist(), sent.tolist(), diag.tolist(), strict=True)}:
-                        if (d, s, g) in tried:
-                            continue
-                        tried.add((d, s, g))
-                        item, whole_only, ws = self.sentences[s]
-                        n_words = len(ws)
+                    made.append(_distinct((doc * reach + pos[row] - first[doc] - where[hit, 1] + lead) * n_sent + where[hit, 0]))
+                new = _distinct(np.concatenate(made))
+                new = new[~np.isin(new, tried, assume_unique=True)]
+                tried = np.concatenate([tried, new])
+                settled = []
+                before, regions = None, {}
+                place = new // n_sent
+                for d, at, s in zip((place // reach).tolist(), (place % reach - lead).tolist(), (new % n_sent).tolist(), strict=True):
+                    item, whole_only, ws = self.sentences[s]
+                    n_words, g = len(ws), starts[d] + at
+                    if at < 0 or written[g : g + n_words] != self.ids[s]:
                         if (d, item) in found:
-                            settled.append((g, g + n_words))
                             continue
-                        at = g - starts[d]
-                        if not (at >= 0 and np.array_equal(as_written[g : g + n_words], self.ids[s])):
+                        if before != (d, at):
+                            before, regions = (d, at), {}
+                        if n_words not in regions:
                             region = set(flat[max(starts[d], g - 4) : max(0, g + n_words + 4)])
                             lo_, hi_ = max(0, at - 4), max(0, at + n_words + 4)
                             read = written[starts[d] + lo_ : starts[d] + min(hi_, len(docs[d]))]
-                            around = [self.words[i] if 0 <= i < NEAR else skeletons(w) for i, w in zip(read, docs[d][lo_:hi_], strict=True)]
-                            if not self._could_hold(s, region, around) or not held(ws, around, whole_only, self.rare_words):
-                                continue
-                        found.add((d, item))
-                        settled.append((g, g + n_words))
+                            regions[n_words] = region, _Around(self.words[i] if 0 <= i < NEAR else skeletons(w) for i, w in zip(read, docs[d][lo_:hi_], strict=True))
+                        region, around = regions[n_words]
+                        if not self._could_hold(s, region, around) or not held(ws, around, whole_only, self.rare_words):
+                            continue
+                    found.add((d, item))
+                    settled.append((g, g + n_words))
                 if settled and r + 1 < len(reps):  # what lies within a found passage needs no further walk
                     inside = np.zeros(len(ids) + 1, dtype=np.int32)
                     for a_, b_ in settled:

@@ -82,6 +82,28 @@ def test_bound_of_held():
     assert accepted > 300
 
 
+def test_like_sentences_are_not_compared(monkeypatch):
+    """A sentence with several other names is refused by its words and letters, not by an alignment with every item like it."""
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4))
+    known = name()
+    sentence = lambda: f"when {known} drained the {name()} marsh in summer the catch at {name()} weir fell to few baskets by {name()}".split()
+    ix = L.Index([(i, True, sentence()) for i in range(40)] + [(99, True, ["other", *sentence()])])
+    ix.needs = [({ix.vocab[known]}, 1)] * 41
+    calls, held = [], L.held
+    monkeypatch.setattr(L, "held", lambda *a: calls.append(a) or held(*a))
+    assert not set(ix.search([" ".join(sentence()) for _ in range(5)], L._Memo(ix)))
+    assert len(calls) <= 5
+
+
+def test_marks_without_letters_around():
+    """A lone voicing mark is a token without letters."""
+    rng = random.Random(6)
+    item = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(30)]
+    ix = L.Index([(7, False, item)])
+    assert set(ix.search(["\u309b " + " ".join(item[:13]) + " \u309b \u309b and more"], L._Memo(ix))) == {(0, 7)}
+
+
 def test_recall_against_exact_verification():
     """Items with one random edit are found by the sampled walks as by comparing every sentence."""
     rng = random.Random(5)
