@@ -104,6 +104,29 @@ def test_marks_without_letters_around():
     assert set(ix.search(["\u309b " + " ".join(item[:13]) + " \u309b \u309b and more"], L._Memo(ix))) == {(0, 7)}
 
 
+def test_items_found_do_not_hide_others():
+    """A sentence like one of an item that is found already is still searched for its own item."""
+
+    def found(seed):
+        rng = random.Random(seed)
+        name = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4))
+        keepers = lambda: f"keepers at the {name()} lighthouse logged {rng.randint(9, 90)} foggy nights before january {rng.randint(1850, 1990)} when the {name()} bell finally cracked".split()
+        ledger = lambda: f"a ledger from {name()} shows that {name()} paid {rng.randint(9, 90)} drovers to move the {name()} herd past {name()} in june".split()
+        sentences = [(i, False, make()) for i in range(12) for make in (ledger, keepers)]
+        ix = L.Index(sentences)
+        words = list(sentences[3][2])
+        for at in rng.sample(range(len(words)), 3):
+            w = words[at]
+            if not w[0].isdigit() and len(w) > 3:
+                k = rng.randrange(1, len(w) - 1)
+                words[at] = w[:k] + w[k + 1 :]
+        words[rng.randrange(len(words))] = "other"
+        text = ". ".join(" ".join(x) for i, _, x in sentences[::2] if i != 1) + ". " + " ".join(words)
+        return set(ix.search([text], L._Memo(ix)))
+
+    assert all((0, 1) in found(seed) for seed in range(200, 216))
+
+
 def test_recall_against_exact_verification():
     """Items with one random edit are found by the sampled walks as by comparing every sentence."""
     rng = random.Random(5)
