@@ -176,13 +176,13 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def percentiles(sketched: DataFrame, ps: dict[str, float]) -> DataFrame:
-    """The sketches' columns, without the sketch, with n and a column for every percentile."""
-    schema = ", ".join(f"`{k}` {t}" for k, t in sketched.dtypes if k != "sketch") + ", n long, " + ", ".join(f"{c} double" for c in ps)
+    """The sketches' columns with n and a column for every percentile; the sketch stays, so that rows can be merged again."""
+    schema = ", ".join(f"`{k}` {t}" for k, t in sketched.dtypes if k != "sketch") + ", n long, " + ", ".join(f"{c} double" for c in ps) + ", sketch binary"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             all_ = [Sketch.of(b) for b in pdf["sketch"]]
             q = np.array([s.quantiles(list(ps.values())) for s in all_]).reshape(-1, len(ps))
-            yield pdf.drop(columns="sketch").assign(n=[s.n for s in all_], **{c: q[:, i] for i, c in enumerate(ps)})
+            yield pdf.assign(n=[s.n for s in all_], **{c: q[:, i] for i, c in enumerate(ps)})
 
     return sketched.mapInPandas(read, schema)

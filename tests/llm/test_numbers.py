@@ -1,5 +1,6 @@
 """Sampling, neighbours, percentiles and packing."""
 
+import datetime
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ from strandline.llm import neighbours as N
 from strandline.llm import packing as K
 from strandline.llm import proportions as S
 from strandline.llm import quantiles as Q
+from strandline.llm import queries
 
 
 def test_raking_fits_every_margin():
@@ -144,6 +146,31 @@ def test_percentiles_of_dirty_values(spark):
     assert Q.sketches(df.where("false"), ["g", "day"], ["x"]).count() == 0
 
 
+def test_days_of_the_result_can_be_combined(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.pareto(1.1, 12_000)
+    at = [datetime.datetime(2025, 3, 1 + i // 2 % 4, 12) if i % 5 else None for i in range(len(x))]  # some have no time
+    rows = [(i, "ab"[i % 2], t, float(v), None) for i, (t, v) in enumerate(zip(at, x, strict=True))]
+    table = spark.createDataFrame(rows, "result_id long, condition string, finished_at timestamp, query_latency_ms double, index_latency_ms double")
+    table.write.parquet(f"{tmp_path}/per_question_metrics.parquet")
+    queries.p4_percentiles(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")  # what came out is all there is
+    keys = [(r.condition, r.over, r.day) for r in out.collect()]
+    assert len(keys) == len(set(keys)) == 12 and sum(r[1:] == ("day", None) for r in keys) == 2
+
+    def check(days, wanted):
+        ps = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+        got = Q.percentiles(Q.merged(days, ["condition", "metric"]), ps).collect()
+        assert {r.condition for r in got} == {"a", "b"}
+        for r in got:
+            own = np.array([v for i, (t, v) in enumerate(zip(at, x, strict=True)) if "ab"[i % 2] == r.condition and wanted(t)])
+            assert r.n == len(own) and all(relative_error(own, r[c], p) <= Q.ERROR for c, p in ps.items())
+
+    check(out.where("over = 'day'"), lambda t: True)
+    check(out.where("day in ('2025-03-01', '2025-03-02', '2025-03-03')"), lambda t: t and t.day < 4)
+    check(out.where("over = 'all days'"), lambda t: True)
+
+
 def test_packing_invariants(spark):
     rng = np.random.default_rng(6)
     sizes = [int(s) for s in rng.lognormal(6, 1.2, 4000)] + [4096, 4097, 8192, 0, None, 40_000, 2048, 2048]
